@@ -35,6 +35,12 @@ def seconds_interval(seconds: ColumnLike) -> Column:
     return F.make_dt_interval(zero, zero, zero, as_column(seconds).cast("decimal(18,6)"))
 
 
+def micros(ts: ColumnLike) -> Column:
+    """Microseconds since 1970 of a timestamp, the same in every session time zone."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", zero, as_column(ts).cast("timestamp_ntz"))
+
+
 def date_from_index(start: ColumnLike, index: ColumnLike, unit_seconds: int = 1) -> Column:
     return as_column(start) + seconds_interval(as_column(index) * F.lit(unit_seconds))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foreloom.plans.joins import attach
 from foreloom.plans.ordered import group_sizes, is_long, positions
-from foreloom.session import group_rows
+from foreloom.session import pack_rows
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,7 @@ def pack(
     """
     rows = df.select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
     rows = rows.where(F.col("value").isNotNull())
+    limit = limit or pack_rows(df.sparkSession)
     if not is_long(rows, keys, limit):
         ordered = F.array_sort(F.collect_list(F.struct("ts", "value")))
         whole = rows.groupBy(*keys).agg(ordered.alias("o"))
@@ -63,7 +64,7 @@ def pack(
         )
         return Packed(frame, keys, False)
 
-    length = max(limit or group_rows(df.sparkSession), halo + 1)
+    length = max(limit, halo + 1)
     placed = positions(rows, keys, ["ts", "value"], "pos", limit)
     chunk = F.floor(F.col("pos") / length)
     near_end = F.col("pos") % length >= length - halo

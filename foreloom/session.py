@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_ROWS_KEY = "spark.foreloom.groupRows"
 GROUP_ROWS_DEFAULT = 1_000_000
 
+# Longest array of one packed series chunk; it bounds a row handed to Python.
+PACK_ROWS_KEY = "spark.foreloom.packRows"
+PACK_ROWS_DEFAULT = 262_144
+
 # Largest table (in rows) that may be broadcast by an explicit hint.
 BROADCAST_ROWS_KEY = "spark.foreloom.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 200_000
@@ -36,6 +40,10 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(GROUP_ROWS_DEFAULT)))
 
 
+def pack_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(PACK_ROWS_KEY, str(PACK_ROWS_DEFAULT)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS_DEFAULT)))
 

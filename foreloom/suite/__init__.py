@@ -1 +1,40 @@
+"""Registered queries, each with its SQL counterpart where SQL can express it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """Attribute access to the Parquet tables of a data folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``fn(tables) -> DataFrame`` under a name."""
+
+    def register(fn):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(Tables(spark, folder))
+
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return register
