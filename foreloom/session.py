@@ -32,6 +32,7 @@ def build_session(app: str = "foreloom", cores: str = "*", shuffle: int = 8) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
