@@ -49,15 +49,22 @@ def selection_message(rows: DataFrame, keys: Sequence[str], names: Sequence[str]
     return rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
 
 
-def receive(graph: JoinGraph, name: str, message: DataFrame, keys: Sequence[str], kind: str = FULL) -> DataFrame:
-    """A relation joined with one incoming message; selection messages only filter."""
+def receive(
+    graph: JoinGraph, name: str, message: DataFrame, keys: Sequence[str], kind: str = FULL, small: bool = False
+) -> DataFrame:
+    """A relation joined with one incoming message; selection messages only filter.
+
+    ``small`` says that the relation was measured and may be broadcast.
+    """
     rows = graph.relations[name].rows().select(*graph.useful(name))
     if kind == SELECTION:
         return rows.join(message, list(keys), "left_semi")
-    return null_safe_join(message, rows, list(keys))
+    return null_safe_join(message, F.broadcast(rows) if small else rows, list(keys))
 
 
-def calibrate(graph: JoinGraph, facts: DataFrame, groups: Sequence[str] = ()) -> dict[str, DataFrame]:
+def calibrate(
+    graph: JoinGraph, facts: DataFrame, groups: Sequence[str] = (), small: dict[str, bool] | None = None
+) -> dict[str, DataFrame]:
     """Rows of every relation with s and c, from the fact table outwards.
 
     Messages toward the fact table are identities (every dimension key is unique
@@ -72,7 +79,7 @@ def calibrate(graph: JoinGraph, facts: DataFrame, groups: Sequence[str] = ()) ->
             continue
         theirs, mine = graph.edges[parent][name]
         sent = full_message(absorbed[parent], theirs, mine, groups)
-        absorbed[name] = receive(graph, name, sent, mine)
+        absorbed[name] = receive(graph, name, sent, mine, FULL, bool(small and small.get(name)))
     return absorbed
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,33 +15,36 @@ NULL_SPLIT = "NULL"
 GROUP = ["tree", "node", "rel", "feat"]
 
 
-def long_features(rows: DataFrame, rel: int, features: dict[str, tuple[int, str]], groups: Sequence[str]) -> DataFrame:
-    """Feature values in long form with s and c, added up per value.
-
-    ``features`` maps a column to (number, kind).  Numbers go to ``num``,
-    categories to ``cat``.
-    """
-    per_row = rows.groupBy(*groups, *features).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+def feature_items(rel: int, features: dict[str, tuple[int, str]]) -> Column:
+    """Array of the feature values of a row; numbers go to ``num``, categories to ``cat``."""
     items = []
     for name, (number, kind) in features.items():
         numeric = kind == NUM
         items.append(
             F.struct(
+                F.lit(rel).alias("rel"),
                 F.lit(number).alias("feat"),
                 F.lit(kind).alias("kind"),
                 (F.col(name).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
                 (F.lit(None).cast("string") if numeric else F.col(name).cast("string")).alias("cat"),
             )
         )
-    # a single feature is already grouped by its value
-    source = per_row if len(features) == 1 else rows
-    spread = source.select(*groups, F.lit(rel).alias("rel"), F.explode(F.array(*items)).alias("f"), "s", "c")
-    flat = spread.select(*groups, "rel", "f.*", "s", "c")
-    if len(features) == 1:
-        return flat
-    return flat.groupBy(*groups, "rel", "feat", "kind", "num", "cat").agg(
-        F.sum("s").alias("s"), F.sum("c").alias("c")
-    )
+    return F.array(*items)
+
+
+def long_features(relations: Sequence[tuple[DataFrame, int, dict[str, tuple[int, str]]]]) -> DataFrame:
+    """Sums of s and c per (tree, node, relation, feature, value).
+
+    The feature values of all relations go through one shuffle, and are added
+    up per task before it.
+    """
+    parts = [
+        rows.select("tree", "node", F.explode(feature_items(rel, features)).alias("f"), "s", "c")
+        for rows, rel, features in relations
+    ]
+    every = reduce(DataFrame.unionAll, parts)
+    fields = [F.col(f"f.{n}").alias(n) for n in ("rel", "feat", "kind", "num", "cat")]
+    return every.groupBy("tree", "node", *fields).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
 
 
 def score(s: Column, c: Column, total_s: Column, total_c: Column) -> Column:
@@ -59,24 +63,37 @@ def scored_splits(values: DataFrame, totals: DataFrame, long_groups: bool = Fals
     by one, and missing values of any feature against the rest.
     """
     present = F.when(F.col("kind") == NUM, F.col("num").isNotNull()).otherwise(F.col("cat").isNotNull())
-    mean = F.col("s") / F.col("c")
-    place = F.when(F.col("kind") == NUM, F.col("num")).when(F.col("kind") == LCAT, mean)
-    marked = values.withColumns({"present": present, "place": place})
-    ordered = marked.where(present & (F.col("kind") != CAT))
+    place = F.when(F.col("kind") == NUM, F.col("num")).when(F.col("kind") == LCAT, F.col("s") / F.col("c"))
+    marked = values.select(
+        *GROUP,
+        F.when(present, F.col("kind")).otherwise(NULL_SPLIT).alias("kind"),
+        "num",
+        "cat",
+        place.alias("place"),
+        "s",
+        "c",
+    )
+    # rows taken one by one get a place of their own instead of a running sum
+    ranked = F.col("kind").isin(NUM, LCAT)
     if long_groups:
-        sums = running_sums(ordered, GROUP, ["place", "cat"], {"ls": "s", "lc": "c"})
+        sums = running_sums(marked, [*GROUP, "kind"], ["place", "cat"], {"rs": "s", "rc": "c"})
     else:
-        w = Window.partitionBy(*GROUP).orderBy("place", "cat").rowsBetween(Window.unboundedPreceding, 0)
-        sums = ordered.select("*", F.sum("s").over(w).alias("ls"), F.sum("c").over(w).alias("lc"))
-    single = marked.where(~present | (F.col("kind") == CAT))
-    single = single.select("*", F.col("s").alias("ls"), F.col("c").alias("lc"))
-    split_kind = F.when(F.col("present"), F.col("kind")).otherwise(NULL_SPLIT)
-    both = sums.unionByName(single).withColumn("kind", split_kind)
-    joined = both.join(F.broadcast(totals), ["tree", "node"])
-    scored = joined.withColumn("score", score(F.col("ls"), F.col("lc"), F.col("total_s"), F.col("total_c")))
-    return scored.where(F.col("score").isNotNull()).select(
-        "tree", "node", "rel", "feat", "kind", "num", "cat", "place", "ls", "lc", "score"
+        w = Window.partitionBy(*GROUP, "kind").orderBy("place", "cat").rowsBetween(Window.unboundedPreceding, 0)
+        sums = marked.select("*", F.sum("s").over(w).alias("rs"), F.sum("c").over(w).alias("rc"))
+    joined = sums.join(F.broadcast(totals), ["tree", "node"])
+    left_s = F.when(ranked, F.col("rs")).otherwise(F.col("s"))
+    left_c = F.when(ranked, F.col("rc")).otherwise(F.col("c"))
+    scored = joined.select(
+        *GROUP,
+        "kind",
+        "num",
+        "cat",
+        "place",
+        left_s.alias("ls"),
+        left_c.alias("lc"),
+        score(left_s, left_c, F.col("total_s"), F.col("total_c")).alias("score"),
     )
+    return scored.where(F.col("score").isNotNull())
 
 
 def best_splits(scored: DataFrame) -> DataFrame:

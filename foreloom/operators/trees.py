@@ -21,7 +21,7 @@ from foreloom.operators import messages as M
 from foreloom.operators import splits as P
 from foreloom.operators.joingraph import CAT, LCAT, NUM, JoinGraph, JoinGraphError, Relation
 from foreloom.plans.joins import attach
-from foreloom.session import broadcast_rows, cut, fits, group_rows
+from foreloom.session import broadcast_rows, cut, fits, group_rows, planned_once
 
 RESERVED = ("s", "c", "rowid", "tree", "node", "rel", "feat", "kind", "num", "cat")
 GROWTHS = ("bestfirst", "depthwise", "levelwise")
@@ -281,6 +281,11 @@ class DecisionTree(DummyModel):
             root = (0.0, total["c"])
         else:
             root = (total["s"], total["c"])
+        # at most a few hundred thousand fact rows: adaptive planning would dominate
+        with planned_once(facts.sparkSession, total["c"] <= broadcast_rows(facts.sparkSession)):
+            self._boost(work, facts, root, rounds)
+
+    def _boost(self, work: JoinGraph, facts: DataFrame, root: tuple[float, float], rounds: int) -> None:
         for number in range(rounds):
             grown, routed = self._grow(work, facts.withColumns({"tree": F.lit(0), "node": F.lit(1).cast("long")}), {0: root})
             tree = grown[0]
@@ -292,18 +297,18 @@ class DecisionTree(DummyModel):
             updated = updated.persist()
             # filled before the old version is released
             kept = updated.count()
-            facts.unpersist()
+            for old in (facts, *self._held):
+                old.unpersist()
             facts = updated
             root = (root[0] * (1.0 - self.learning_rate), kept)
-        facts.unpersist()
+        for old in (facts, *self._held):
+            old.unpersist()
 
     def _lifted(self, work: JoinGraph, warm: bool) -> DataFrame:
-        if not warm or not (self.trees and self.used_features()):
-            target = F.col(work.target) - F.lit(self.constant if warm else 0.0)
-            if warm and self.trees:
-                target = target - self.to_column()
-                target = target + F.lit(self.constant)
-            facts = M.lift(work, target)
+        if not warm:
+            facts = M.lift(work)
+        elif not self.used_features():
+            facts = M.lift(work, F.col(work.target) - self.to_column())
         else:
             fact = work.target_relation
             used = self.used_features(working=True)
@@ -343,18 +348,13 @@ class DecisionTree(DummyModel):
 
     def _values(self, work: JoinGraph, facts: DataFrame) -> DataFrame:
         """Sums per (tree, node, relation, feature, value)."""
-        groups = ["tree", "node"]
-        absorbed = M.calibrate(work, facts, groups)
+        absorbed = M.calibrate(work, facts, ["tree", "node"], self._small)
         parts = []
         for number, (name, r) in enumerate(work.relations.items()):
-            if not r.features:
-                continue
-            features = {f: (i, kind) for i, (f, kind) in enumerate(r.features.items())}
-            parts.append(P.long_features(absorbed[name], number, features, groups))
-        out = parts[0]
-        for other in parts[1:]:
-            out = out.unionByName(other)
-        return out
+            if r.features:
+                features = {f: (i, kind) for i, (f, kind) in enumerate(r.features.items())}
+                parts.append((absorbed[name], number, features))
+        return P.long_features(parts)
 
     def _grow(self, work: JoinGraph, facts: DataFrame, roots: dict[int, tuple[float, float]]):
         """Grow one tree per root; returns the trees and the fact rows with their deepest node."""
@@ -578,5 +578,6 @@ class RandomForest(DecisionTree):
         self.trees = [grown[t] for t in sorted(grown)]
         for tree in self.trees:
             tree.rate = 1.0 / len(self.trees)
-        facts.unpersist()
+        for old in (facts, *self._held):
+            old.unpersist()
         return self

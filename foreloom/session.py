@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,3 +84,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """Measured size check: stops reading once more than ``rows`` rows were seen."""
     return df.limit(rows + 1).count() <= rows
+
+
+@contextmanager
+def planned_once(spark: SparkSession, when: bool):
+    """Plan the enclosed queries once instead of stage by stage.
+
+    For many queries in a row over inputs that were measured to be small, where
+    re-planning between stages costs more than the stages do.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    if when:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
