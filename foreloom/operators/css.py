@@ -128,7 +128,7 @@ def _work(pdf: pd.DataFrame):
 
 def _order(item):
     m, own = item[1], item[3]
-    return len(m["phi"]), len(m["theta"]), int(np.ceil(np.log2(len(own) + 1)))
+    return len(m["phi"]), len(m["theta"]), K.length_class(len(own))
 
 
 def _evaluate(items, p, q, skip=None):
@@ -448,7 +448,7 @@ def _point_work(pdf):
 
 def _point_order(item):
     m, own = item[1], item[3]
-    return int(m["p"]), int(m["q"]), bool(m["constant"]), int(np.ceil(np.log2(len(own) + 1)))
+    return int(m["p"]), int(m["q"]), bool(m["constant"]), K.length_class(len(own))
 
 
 def _point_sums(items, p, q, const):

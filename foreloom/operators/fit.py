@@ -105,7 +105,7 @@ def fit_candidates(
 
 def _fit_order(item):
     m = item[1]
-    return int(m["p"]), int(m["q"]), bool(m["constant"]), int(np.ceil(np.log2(len(item[2]) + 1)))
+    return int(m["p"]), int(m["q"]), bool(m["constant"]), K.length_class(len(item[2]))
 
 
 def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], rounds: int = 60) -> DataFrame:

@@ -17,6 +17,9 @@ START_COEF = 0.1
 CONSTANT_SCALE = 10.0
 CONSTANT_FLOOR = 1.0
 XTOL_REL = 1e-6
+
+# Limits of our own search.
+FTOL_REL = 1e-9
 MAX_ROUNDS = 100
 
 
@@ -25,6 +28,11 @@ def check_order(p: int, d: int, q: int) -> None:
         raise ValueError(f"order ({p},{d},{q}) is outside 0..{MAX_P}, 0..{MAX_D}, 0..{MAX_Q}")
 
 
+def length_class(n: int) -> int:
+    """Series of one class are padded to a common length."""
+    return 8 if n <= 256 else int(np.ceil(np.log2(n)))
+
+
 def ma_filter(u: np.ndarray, theta: np.ndarray, entry: np.ndarray) -> np.ndarray:
     """Solve e_t = u_t - sum_j theta_j e_{t-j} along the last axis.
 
@@ -205,8 +213,8 @@ def settle(x, f, trial, f_trial, damping):
     """(accepted, finished, new damping) of one trial."""
     better = f_trial < f
     moved = np.abs(trial - x) > XTOL_REL * np.maximum(np.abs(x), 1e-9)
-    flat = np.abs(f - f_trial) <= 1e-14 * np.abs(f)
-    finished = ~moved.any(axis=1) | (better & flat) | (~better & (damping > 1e10))
+    flat = np.abs(f - f_trial) <= FTOL_REL * np.abs(f)
+    finished = ~moved.any(axis=1) | (better & flat) | (~better & (damping > 1e8))
     return better, finished, np.where(better, np.maximum(damping / 5.0, 1e-12), damping * 8.0)
 
 

@@ -108,13 +108,14 @@ class Tree:
     def splits(self) -> list[Split]:
         return [self.nodes[n].split for n in self.chosen]
 
-    def column(self, name_of, number: int = 1) -> Column:
+    def column(self, resolve, number: int = 1) -> Column:
+        """Nested conditions; ``resolve`` gives the column that a split reads."""
         node = self.nodes[number]
         if number not in self.chosen:
             return F.lit(self.leaf_value(node))
         left, right = node.children
-        test = node.split.condition(F.col(name_of(node.split)))
-        return F.when(test, self.column(name_of, left)).otherwise(self.column(name_of, right))
+        test = node.split.condition(resolve(node.split))
+        return F.when(test, self.column(resolve, left)).otherwise(self.column(resolve, right))
 
     def sql(self, name_of, number: int = 1) -> str:
         node = self.nodes[number]
@@ -179,12 +180,15 @@ class DummyModel:
     def to_column(self, qualified: bool = False) -> Column:
         """The model as an expression over plain or ``relation__feature`` columns."""
 
-        def name_of(split):
-            return f"{split.relation}__{split.feature}" if qualified else self.original(split)
+        def resolve(split):
+            return F.col(f"{split.relation}__{split.feature}" if qualified else self.original(split))
 
+        return self.to_column_of(resolve)
+
+    def to_column_of(self, resolve) -> Column:
         out = F.lit(float(self.base()))
         for tree in self.trees:
-            out = out + tree.column(name_of)
+            out = out + tree.column(resolve)
         return out
 
     def to_sql(self) -> str:

@@ -32,6 +32,11 @@ class Packed:
         return Packed(self.frame.persist(), self.keys, self.long)
 
 
+def task_count(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def pack(
     df: DataFrame,
     keys: list[str],
@@ -52,7 +57,9 @@ def pack(
     limit = limit or pack_rows(df.sparkSession)
     if not is_long(rows, keys, limit):
         ordered = F.array_sort(F.collect_list(F.struct("ts", "value")))
-        whole = rows.groupBy(*keys).agg(ordered.alias("o"))
+        # an explicit number of partitions: the arrays are few bytes but much work per row
+        spread = rows.repartition(task_count(df), *keys) if keys else rows
+        whole = spread.groupBy(*keys).agg(ordered.alias("o"))
         frame = whole.select(
             *keys,
             F.lit(0).cast("long").alias("chunk"),
@@ -72,7 +79,7 @@ def pack(
         "chunk", F.explode(F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     ).withColumn("own", chunk == F.col("chunk"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "value", "own")))
-    grouped = spread.groupBy(*keys, "chunk").agg(
+    grouped = spread.repartition(task_count(df), *keys, "chunk").groupBy(*keys, "chunk").agg(
         ordered.alias("o"), F.max(F.when(F.col("own"), F.col("ts"))).alias("last_ts")
     )
     own = F.filter("o", lambda x: x["own"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +26,25 @@ BROADCAST_ROWS_KEY = "spark.foreloom.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foreloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="foreloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/foreloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._foreloom_shipped = True
+
+
 def build_session(app: str = "foreloom", cores: str = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests, benches and the shell."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -36,6 +56,8 @@ def build_session(app: str = "foreloom", cores: str = "*", shuffle: int = 8) ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def group_rows(spark: SparkSession) -> int:
@@ -62,23 +84,29 @@ def shared_folder(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foreloom-"))
+        own = tempfile.mkdtemp(prefix="foreloom-")
+        # only this process, which made the folder, reads it
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         current = sc.getCheckpointDir()
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: small results that several later steps read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a wide intermediate once as Parquet in the shared folder and read it back."""
+    """Write an intermediate once as Parquet in the shared folder and read it back.
+
+    Unlike ``checkpoint`` this computes the frame once, keeps column pruning for
+    its readers, and survives the loss of executors all the same.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foreloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of a result that several later steps read."""
+    return stage(df, "cut")
 
 
 def fits(df: DataFrame, rows: int) -> bool:
