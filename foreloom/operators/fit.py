@@ -149,7 +149,8 @@ def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], roun
                 x, g = as_array(row.x)[None], as_array(row.grad)[None]
                 gram = as_array(row.gram).reshape(1, x.shape[1], x.shape[1])
                 low, high = as_array(row.low)[None], as_array(row.high)[None]
-                trials.append(K.trial_step(x, g, gram, np.array([row.damping]), low, high)[0].tolist())
+                coefs = int(row.p) + int(row.q)
+                trials.append(K.trial_step(x, g, gram, np.array([row.damping]), low, high, coefs)[0].tolist())
             yield pdf.assign(trial=trials)
 
     def decide(batches):

@@ -21,6 +21,7 @@ XTOL_REL = 1e-6
 # Limits of our own search.
 FTOL_REL = 1e-9
 MAX_ROUNDS = 100
+MAX_MOVE = 0.5
 
 
 def check_order(p: int, d: int, q: int) -> None:
@@ -191,8 +192,12 @@ def bounds(mean: np.ndarray, p: int, q: int, constant: bool):
     return start, -high, high
 
 
-def trial_step(x, grad, gram, damping, low, high):
-    """Damped Gauss-Newton step kept inside the bounds."""
+def trial_step(x, grad, gram, damping, low, high, coefs: int):
+    """Damped Gauss-Newton step kept inside the bounds.
+
+    The first ``coefs`` parameters move by at most ``MAX_MOVE``, so that a long
+    step does not leave the valley of the start for an explosive solution.
+    """
     k = x.shape[1]
     fixed = ((x <= low) & (grad > 0)) | ((x >= high) & (grad < 0))
     free = ~fixed
@@ -206,7 +211,11 @@ def trial_step(x, grad, gram, damping, low, high):
         step = np.linalg.solve(a, np.nan_to_num(rhs)[:, :, None])[:, :, 0]
     except np.linalg.LinAlgError:
         step = np.stack([np.linalg.lstsq(m, v, rcond=None)[0] for m, v in zip(a, np.nan_to_num(rhs))])
-    return np.clip(x + np.nan_to_num(step), low, high)
+    step = np.nan_to_num(step)
+    if coefs:
+        longest = np.abs(step[:, :coefs]).max(axis=1)
+        step = step * np.minimum(1.0, MAX_MOVE / np.maximum(longest, 1e-300))[:, None]
+    return np.clip(x + step, low, high)
 
 
 def settle(x, f, trial, f_trial, damping):
@@ -228,7 +237,7 @@ def fit_gauss_newton(batch: Batch, mean: np.ndarray, constant: bool):
         if not len(live):
             break
         part = batch if len(live) == batch.rows else batch.take(live)
-        trial = trial_step(x[live], grad[live], gram[live], damping[live], low[live], high[live])
+        trial = trial_step(x[live], grad[live], gram[live], damping[live], low[live], high[live], batch.p + batch.q)
         ft, gt, mt, _, _ = part.sums(trial, constant)
         better, finished, damping[live] = settle(x[live], f[live], trial, ft, damping[live])
         won = live[better]

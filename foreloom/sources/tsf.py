@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from foreloom.plans.joins import attach
 from foreloom.plans.ordered import running_sums
 
-# Encoding of the files, and the format of dates in them.
-ENCODING = "windows-1252"
+# Encoding of the files, and the format of dates in them.  Spark
+# reads the Latin-1 superset; the characters in which the two differ are mapped.
+ENCODING = "iso-8859-1"
+FILE_ENCODING = "cp1252"
 DATE_FORMAT = "yyyy-MM-dd HH-mm-ss"
 TYPES = {"numeric": "int", "string": "string", "date": "timestamp_ntz"}
 
 
+def _encoding_pairs() -> tuple[str, str]:
+    """Characters that Latin-1 reads differently, and what the file means by them."""
+    read, meant = "", ""
+    for byte in range(0x80, 0xA0):
+        try:
+            meant += bytes([byte]).decode(FILE_ENCODING)
+        except UnicodeDecodeError:
+            continue
+        read += chr(byte)
+    return read, meant
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines with their file and their place in it.
 
@@ -24,7 +38,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema("line string").option("encoding", ENCODING)
     rows = reader.option("sep", "\u0001").option("quote", "").option("mode", "PERMISSIVE").csv(path)
     place = F.monotonically_increasing_id()
-    return rows.select(place.alias("place"), F.trim("line").alias("line")).where(F.col("line") != "")
+    return rows.select(place.alias("place"), F.trim(F.translate("line", *_encoding_pairs())).alias("line")).where(F.col("line") != "")
 
 
 def read_tsf_meta(spark: SparkSession, path: str) -> dict:
@@ -77,7 +91,7 @@ def _flag(text: str) -> bool:
 
 def _typed(field: Column, kind: str) -> Column:
     if kind == "date":
-        return F.to_timestamp(field, F.lit(DATE_FORMAT)).cast("timestamp_ntz")
+        return F.to_timestamp(field, DATE_FORMAT).cast("timestamp_ntz")
     return field.cast(TYPES[kind])
 
 
