@@ -189,11 +189,12 @@ def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], roun
             F.slice("x", F.col("p") + 1, F.col("q")).alias("theta"),
             F.when(F.col("constant"), F.element_at("x", -1)).otherwise(0.0).alias("c"),
             "css",
+            F.concat_ws("/", "p", "q", "constant").alias("candidate"),
         )
     )
-    states = fold_states(packed, models, [*ids, "p", "q", "constant"])
+    states = fold_states(packed, models, [*ids, "candidate"])
     out = cut(
-        models.join(states, [*keys, *ids, "p", "q", "constant"]).select(
+        models.join(states, [*keys, *ids, "candidate"]).select(
             *every, "phi", "theta", "c", F.col("state.e_lags").alias("residuals"), "css"
         )
     )

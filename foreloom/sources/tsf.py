@@ -105,11 +105,12 @@ def read_tsf_series(
     """
     meta = meta or read_tsf_meta(spark, path)
     names, kinds = meta["column_names"], meta["column_types"]
-    lines = _lines(spark, path).where(~F.col("line").startswith("@") & ~F.col("line").startswith("#"))
+    is_data = ~F.col("line").startswith("@") & ~F.col("line").startswith("#")
+    lines = _lines(spark, path).where(is_data)
     parts = F.split("line", ":", -1)
-    checked = F.when(F.size(parts) == len(names) + 1, parts).otherwise(
-        F.raise_error(F.lit("Dataset row has wrong number of fields")).cast("array<string>")
-    )
+    # the condition is repeated here because Spark may move the check below the filter
+    wrong = F.raise_error(F.lit("Dataset row has wrong number of fields")).cast("array<string>")
+    checked = F.when(F.size(parts) == len(names) + 1, parts).when(is_data, wrong)
     rows = lines.select("place", checked.alias("f"))
     text = F.split(F.col("f")[len(names)], ",", -1)
     value = F.transform(text, lambda v: F.when(v == "?", F.lit(missing).cast("double")).otherwise(v.cast("double")))
