@@ -29,6 +29,12 @@ GROWTHS = ("bestfirst", "depthwise", "levelwise")
 MAX_SET = 10_000
 
 
+def number_text(value: float) -> str:
+    """A double literal; without an exponent SQL would read a decimal."""
+    text = repr(float(value))
+    return text if "e" in text else text + "E0"
+
+
 @dataclass
 class Split:
     relation: str
@@ -55,7 +61,7 @@ class Split:
         if self.kind == P.NULL_SPLIT:
             return f"{name} IS NULL"
         if self.kind == NUM:
-            return f"{name} <= {float(self.value)!r}"
+            return f"{name} <= {number_text(self.value)}"
         if self.kind == CAT:
             return f"CAST({name} AS VARCHAR(4000)) = {text(self.value)}"
         return f"CAST({name} AS VARCHAR(4000)) IN ({', '.join(text(v) for v in self.value)})"
@@ -120,7 +126,7 @@ class Tree:
     def sql(self, name_of, number: int = 1) -> str:
         node = self.nodes[number]
         if number not in self.chosen:
-            return repr(self.leaf_value(node))
+            return number_text(self.leaf_value(node))
         left, right = node.children
         test = node.split.sql(name_of(node.split))
         return f"CASE WHEN {test} THEN {self.sql(name_of, left)} ELSE {self.sql(name_of, right)} END"
@@ -192,7 +198,7 @@ class DummyModel:
         return out
 
     def to_sql(self) -> str:
-        parts = [repr(float(self.base()))] + [f"({t.sql(self.original)})" for t in self.trees]
+        parts = [number_text(self.base())] + [f"({t.sql(self.original)})" for t in self.trees]
         return " + ".join(parts)
 
     def used_features(self, working: bool = False) -> dict[str, list[str]]:

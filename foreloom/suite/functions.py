@@ -244,7 +244,7 @@ def _(t):
 @query(
     "sql_functions",
     f"""WITH {USERS}, a AS (SELECT k, i, y, LAG(y) OVER (PARTITION BY k ORDER BY i) AS x FROM u)
-        SELECT k, ROUND(SUM(POW(y - 2.0 - 0.5 * x, 2)), 4) AS css, COUNT(*) AS n FROM a WHERE x IS NOT NULL GROUP BY k""",
+        SELECT k, ROUND(SUM(POW(y - 2.0 - 0.5 * x, 2)), 6) AS css, COUNT(*) AS n FROM a WHERE x IS NOT NULL GROUP BY k""",
 )
 def _(t):
     """The array functions called from SQL text, on the packed series."""
@@ -253,6 +253,6 @@ def _(t):
     SQL.register(t.spark)
     pack(users(t), ["k"]).frame.createOrReplaceTempView("foreloom_packed")
     return t.spark.sql(
-        """SELECT k, round(css_loss(vals, array(0.5D), CAST(array() AS ARRAY<DOUBLE>), 1, 0, 2.0D), 4) AS css,
+        """SELECT k, round(css_loss(vals, array(0.5D), CAST(array() AS ARRAY<DOUBLE>), 1, 0, 2.0D), 6) AS css,
                   CAST(size(arima_difference(vals, 1)) AS BIGINT) AS n FROM foreloom_packed"""
     )

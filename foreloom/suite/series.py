@@ -79,14 +79,14 @@ def rounded(df, digits=4, **only):
 
 @query(
     "read_series",
-    f"WITH {USERS} SELECT k, i, LOG10(y + 1) AS v FROM u",
+    f"WITH {USERS} SELECT k, i, ROUND(LOG10(y + 1), 9) AS v FROM u",
 )
 def _(t):
     """Ordered array of every series (logged), then back to rows to compare."""
     clean = T.read_clean(t.events.withColumn("k", F.col("user_id")), ["k"], "ts", "value", log=True)
     packed = pack(clean, ["k"])
     rows = packed.frame.select("k", "first", F.posexplode("vals").alias("p", "v"))
-    return rows.select("k", (F.col("first") + F.col("p")).alias("i"), "v")
+    return rows.select("k", (F.col("first") + F.col("p")).alias("i"), F.round("v", 9).alias("v"))
 
 
 @query(
@@ -189,13 +189,13 @@ def _(t):
 @query(
     "win_cumsum_residual",
     f"""WITH {USERS}, m AS (SELECT k, AVG(y) AS m FROM u GROUP BY k)
-        SELECT u.k, i, ROUND(SUM(y - m.m) OVER (PARTITION BY u.k ORDER BY i), 7) AS s FROM u JOIN m ON m.k = u.k""",
+        SELECT u.k, i, ROUND(SUM(y - m.m) OVER (PARTITION BY u.k ORDER BY i), 9) AS s FROM u JOIN m ON m.k = u.k""",
 )
 def _(t):
     from foreloom.plans.ordered import positions
 
     out = T.running_residual(users(t), ["k"], "ts", "value")
-    return positions(out, ["k"], ["ts"], "i").select("k", "i", F.round("s", 7).alias("s"))
+    return positions(out, ["k"], ["ts"], "i").select("k", "i", F.round("s", 9).alias("s"))
 
 
 # -- statistics ---------------------------------------------------------------
@@ -275,7 +275,7 @@ def kpss_sql(d: int, fixed: bool) -> str:
 @query(
     "kpss",
     kpss_sql(0, False)
-    + """ SELECT k, ROUND(eta / (n * n * lr), 6) AS kpss_val, 0.463 AS crit_val, eta / (n * n * lr) <= 0.463 AS test_passed FROM v""",
+    + """ SELECT k, ROUND(eta / (n * n * lr), 6) AS kpss_val, CAST(0.463 AS DOUBLE) AS crit_val, eta / (n * n * lr) <= 0.463 AS test_passed FROM v""",
 )
 def _(t):
     out = St.kpss(pack(users(t), ["k"], halo=40))
