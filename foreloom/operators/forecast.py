@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreloom.functions.scalars import inv_log10p1, log10p1
-from foreloom.operators.fit import arima_fit, autoarima_fit
+from foreloom.operators.fit import (
+    arima_fit,
+    autoarima_search,
+    best_candidate,
+    fit_candidates,
+    prepare_search,
+)
 from foreloom.operators.kernel import MAX_D, MAX_P
 from foreloom.operators.relational import latest_rows
+from foreloom.session import cut
 
 DAY = "1 day"
 
@@ -196,11 +203,10 @@ def autoarima_train_and_forecast(
     step: str | Column = DAY,
 ) -> DataFrame:
     """Search an order per series, then refit it and forecast; the constant stays if it is not 0."""
-    from foreloom.operators.fit import fit_candidates, prepare_search
-
     keys = list(keys)
-    best = autoarima_fit(df, keys, ts, value)
-    packed, _ = prepare_search(df, keys, ts, value)
+    packed, plan = prepare_search(df, keys, ts, value)
+    best = best_candidate(autoarima_search(packed, plan), keys)
     again = best.select(*keys, "p", "d", "q", (F.col("c") != 0.0).alias("constant"))
-    fits = fit_candidates(packed, again).join(best.select(*keys, "use_log"), keys)
+    fits = cut(fit_candidates(packed, again).join(plan.select(*keys, "use_log"), keys))
+    packed.frame.unpersist()
     return arima_run_forecast(df, fits, keys, horizon, step, ts, value)

@@ -384,6 +384,8 @@ class DecisionTree(DummyModel):
                 wanted = F.broadcast(totals.select("tree", "node"))
                 current = facts.join(wanted, ["tree", "node"], "left_semi")
             values = self._values(work, current)
+            # the running sums over slices read the values several times
+            values = cut(values) if self._long else values
             best = P.best_splits(P.scored_splits(values, totals, self._long)).collect()
             sets = self._sets(values, best)
             found = {t: [] for t in frontier}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreloom.plans.joins import attach
-from foreloom.plans.ordered import group_sizes, is_long, positions
+from foreloom.plans.ordered import group_sizes, positions
 from foreloom.session import pack_rows
 
 
@@ -32,9 +32,22 @@ class Packed:
         return Packed(self.frame.persist(), self.keys, self.long)
 
 
-def task_count(df: DataFrame) -> int:
+# Values that one task packs and evaluates, as long as there are tasks enough.
+TASK_VALUES = 50_000
+
+
+def measured(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(length of the longest series, number of all values), in one pass over the keys."""
+    row = group_sizes(rows, keys).agg(F.max("n").alias("longest"), F.sum("n").alias("total")).first()
+    return row["longest"] or 0, row["total"] or 0
+
+
+def task_count(df: DataFrame, total: int) -> int:
+    """At least one task per core, at most the shuffle partitions of the session."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    return min(most, max(cores, -(-total // TASK_VALUES)))
 
 
 def pack(
@@ -55,10 +68,11 @@ def pack(
     rows = df.select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
     rows = rows.where(F.col("value").isNotNull())
     limit = limit or pack_rows(df.sparkSession)
-    if not is_long(rows, keys, limit):
+    longest, total = measured(rows, keys)
+    if longest <= limit:
         ordered = F.array_sort(F.collect_list(F.struct("ts", "value")))
         # an explicit number of partitions: the arrays are few bytes but much work per row
-        spread = rows.repartition(task_count(df), *keys) if keys else rows
+        spread = rows.repartition(task_count(df, total), *keys) if keys else rows
         whole = spread.groupBy(*keys).agg(ordered.alias("o"))
         frame = whole.select(
             *keys,
@@ -79,7 +93,7 @@ def pack(
         "chunk", F.explode(F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     ).withColumn("own", chunk == F.col("chunk"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "value", "own")))
-    grouped = spread.repartition(task_count(df), *keys, "chunk").groupBy(*keys, "chunk").agg(
+    grouped = spread.repartition(task_count(df, total), *keys, "chunk").groupBy(*keys, "chunk").agg(
         ordered.alias("o"), F.max(F.when(F.col("own"), F.col("ts"))).alias("last_ts")
     )
     own = F.filter("o", lambda x: x["own"])
@@ -93,7 +107,7 @@ def pack(
         "last_ts",
     )
     sizes = group_sizes(rows, keys, "n_total").where(F.col("n_total") > 0)
-    frame = attach(cut_up, sizes, keys, spread="chunk") if keys else cut_up.withColumn("n_total", F.lit(rows.count()))
+    frame = attach(cut_up, sizes, keys, spread="chunk") if keys else cut_up.withColumn("n_total", F.lit(total))
     return Packed(
         frame.select(*keys, "chunk", "first", "halo", "vals", "n_total", "last_ts"), keys, True
     )

@@ -590,7 +590,8 @@ def _(t):
 def _(t):
     from foreloom.operators.timeseries import pivot_series
 
-    daily = t.events.select(F.date_trunc("day", "ts").alias("day"), "event_type", "value")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    daily = t.events.select(day, "event_type", "value")
     names = ["click", "error", "purchase"]
     out = pivot_series(daily, "day", "event_type", "value", names, agg=F.sum)
     return out.select("day", *[F.round(n, 2).alias(n) for n in names])

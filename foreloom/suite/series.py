@@ -189,13 +189,13 @@ def _(t):
 @query(
     "win_cumsum_residual",
     f"""WITH {USERS}, m AS (SELECT k, AVG(y) AS m FROM u GROUP BY k)
-        SELECT u.k, i, ROUND(SUM(y - m.m) OVER (PARTITION BY u.k ORDER BY i), 9) AS s FROM u JOIN m ON m.k = u.k""",
+        SELECT u.k, i, ROUND(SUM(y - m.m) OVER (PARTITION BY u.k ORDER BY i), 9) + 0.0 AS s FROM u JOIN m ON m.k = u.k""",
 )
 def _(t):
     from foreloom.plans.ordered import positions
 
     out = T.running_residual(users(t), ["k"], "ts", "value")
-    return positions(out, ["k"], ["ts"], "i").select("k", "i", F.round("s", 9).alias("s"))
+    return positions(out, ["k"], ["ts"], "i").select("k", "i", (F.round("s", 9) + 0.0).alias("s"))
 
 
 # -- statistics ---------------------------------------------------------------
