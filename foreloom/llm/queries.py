@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foreloom.llm import exact_dedup, mixing, secrets
+from foreloom.llm import exact_dedup, mixing, near_dedup, secrets
 from foreloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,13 @@ def _(table):
     return mixing.mix(table("documents"))
 
 
+@query("op7_near_dedup")
+def _(table):
+    """Every document with its component of near duplicates."""
+    found = near_dedup.near_duplicates(near_dedup.numbered(table("documents")))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 @query("op10_exact_dedup", exact_dedup.SQL)
 def _(table):
     """Every document with the one that stays of its text."""
