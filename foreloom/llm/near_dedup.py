@@ -244,32 +244,45 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
     b = packed.select("key", F.col("own").alias("o2"), F.col("block").alias("b2"), F.col("held").alias("y"))
     work = which.join(a, ["key", "o1", "b1"]).join(b, ["key", "o2", "b2"]).select("x", "y")
 
+    def side(column):
+        held = column.values
+        regs = np.frombuffer(b"".join(held.field("regs").to_pylist()), ">u2").reshape(len(held), -1).astype(np.uint16)
+        named = [held.field(c).to_numpy() for c in ("rep", "component", "n")]
+        return column.offsets.to_numpy(), *named[:2], named[2].astype(np.float64), regs
+
+    def plausible(x, y, i, j):
+        """Of places (i, j) on the two sides those that may be links, with their estimates."""
+        fit = x[2][i] != y[2][j]  # of different components
+        fit &= (np.minimum(x[3][i], y[3][j]) * 100 >= np.maximum(x[3][i], y[3][j]) * p.percent)
+        i, j = i[fit], j[fit]
+        # registers agree about as often as the sets do, so far fewer cannot reach the estimate asked for
+        fit = (x[4][i] == y[4][j]).sum(1) >= 0.75 * p.doubt * p.registers
+        i, j = i[fit], j[fit]
+        value = likely(x[4][i], y[4][j], x[3][i], y[3][j], p.base)
+        fit = value >= p.doubt
+        return i[fit], j[fit], value[fit]
+
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for i in range(len(batch)):
-                sides = []
-                for c in (0, 1):
-                    s = batch.column(c)[i].values
-                    sides.append(
-                        (
-                            s.field("rep").to_numpy(), s.field("component").to_numpy(), s.field("n").to_numpy().astype(np.float64),
-                            np.frombuffer(b"".join(s.field("regs").to_pylist()), ">u2").reshape(len(s), -1).astype(np.uint16),
-                        )
-                    )
-                (ra, ca, na, xa), (rb, cb, nb, xb) = sides
-                for k in range(len(ra)):
-                    fit = (cb != ca[k]) & (rb != ra[k]) & (np.minimum(nb, na[k]) * 100 >= np.maximum(nb, na[k]) * p.percent)
-                    at = np.flatnonzero(fit)
-                    if not len(at):
-                        continue
-                    j = likely(xa[k][None, :], xb[at], np.full(len(at), na[k]), nb[at], p.base)
-                    ok = np.flatnonzero(j >= p.doubt)
-                    if most is not None:
-                        ok = ok[np.argsort(-j[ok], kind="stable")[:most]]
-                    out += [(min(ra[k], x), max(ra[k], x)) for x in rb[at[ok]]]
-            out = sorted(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64())], ["a", "b"])
+            x, y = side(batch.column(0)), side(batch.column(1))
+            out, held, waiting = set(), [], 0
+            for r in range(len(batch)):
+                a, b = np.arange(x[0][r], x[0][r + 1]), np.arange(y[0][r], y[0][r + 1])
+                held.append((np.repeat(a, len(b)), np.tile(b, len(a))))
+                waiting += len(a) * len(b)
+                if waiting < 1 << 16 and r + 1 < len(batch):
+                    continue
+                i, j, value = plausible(x, y, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                held, waiting = [], 0
+                if most is not None:
+                    order = np.lexsort((-value, i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[place < most], j[place < most]
+                one, two = x[1][i], y[1][j]
+                out.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
+            ends = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return work.mapInArrow(run, "a long, b long").distinct()
 
