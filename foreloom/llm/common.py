@@ -6,6 +6,8 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def raw(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 21):
+    """Slices of a batch with a bounded amount of text, at least one row each."""
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if size and size + (n or 0) > most:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n or 0
+    if at < len(batch):
+        yield batch.slice(at)

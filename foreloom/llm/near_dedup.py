@@ -8,11 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foreloom.llm.common import WordHashes, discard, mixed, park, raw, small
+from foreloom.llm.common import WordHashes, discard, mixed, park, raw, slices, small
 from foreloom.llm.components import components
 from foreloom.llm.prefix import prefixes
 
@@ -123,18 +122,6 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: f
     return (low + high) / 2
 
 
-def _slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 21):
-    """Slices of a batch with a bounded amount of text, at least one row each."""
-    at = size = 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if size and size + (n or 0) > most:
-            yield batch.slice(at, i - at)
-            at, size = i, 0
-        size += n or 0
-    if at < len(batch):
-        yield batch.slice(at)
-
-
 SKETCHED = "row long, doc_id {id}, n_shingles long, sig binary, regs binary"
 
 
@@ -144,7 +131,7 @@ def sketched(rows: DataFrame, p: Sketch) -> DataFrame:
     def run(batches):
         hashes, registers = WordHashes(), Registers(p)
         for whole in batches:
-            for part in _slices(whole):
+            for part in slices(whole):
                 sets = [shingles(raw(t), p.words, hashes) for t in part.column(1).to_pylist()]
                 sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 new = {}

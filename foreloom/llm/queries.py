@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import exact_dedup, mixing, near_dedup, secrets
+from foreloom.llm import decontamination, exact_dedup, mixing, near_dedup, secrets
 from foreloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def _(table):
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+@query("op9_decontaminate")
+def _(table):
+    """Every document with the benchmark items that it holds."""
+    return decontamination.flagged(table("documents"), table("benchmark"))
+
+
 @query("op10_exact_dedup", exact_dedup.SQL)
 def _(table):
     """Every document with the one that stays of its text."""
