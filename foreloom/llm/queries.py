@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import decontamination, exact_dedup, mixing, near_dedup, secrets
+from foreloom.llm import decontamination, exact_dedup, mixing, near_dedup, secrets, toxicity
 from foreloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def _(table):
     return mixing.mix(table("documents"))
 
 
+@query("op6_toxicity")
+def _(table):
+    """Toxicity of every document."""
+    return toxicity.toxicity(table("documents"), table("labels"))
+
+
 @query("op7_near_dedup")
 def _(table):
     """Every document with its component of near duplicates."""
