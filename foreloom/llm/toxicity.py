@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -25,8 +26,10 @@ class Kernel:
 
     The kernel counts common subsequences of three characters that span at most ``span``, each weighted by ``decay`` to
     the power of its span, and is normalised.  It is applied to the units of a sentence: words between boundary marks,
-    without the signs inserted in them, letter by letter spellings taken as one.  ``toxic`` and ``clean`` bound the
-    labelled documents the fit reads, ``landmarks`` the kernel's approximation.
+    without the signs inserted in them, letter by letter spellings taken as one.  A linear machine on it finds the toxic
+    units of the bags; units over its ``gate`` go to a second one, on the Gaussian exp(sharp * (kernel - 1)).
+    ``toxic`` and ``clean`` bound the labelled documents the fit reads, ``most_units`` its clean units, ``landmarks``
+    the approximation of the kernels.
     """
 
     span: int = 6
@@ -34,9 +37,11 @@ class Kernel:
     landmarks: int = 300
     toxic: int = 1500
     clean: int = 3000
-    most_units: int = 120_000
-    rounds: int = 4
+    most_units: int = 20_000
+    rounds: int = 3
     penalty: float = 1e-4
+    sharp: float = 3.0
+    gate: float = -0.5
     tops: int = 3
 
 
@@ -98,12 +103,49 @@ class Features:
         length = np.sqrt(np.bincount(who, summed**2, minlength=len(units)))
         return who, what, summed / length[who]
 
-    def against(self, units: list[str], table: np.ndarray) -> np.ndarray:
-        """Products of every unit with the columns (or the one column) of ``table``, indexed by code."""
+    def linear(self, units: list[str], table: np.ndarray) -> np.ndarray:
+        """Sum of a unit's values by the weights in ``table``."""
         who, what, value = self.of(units)
-        if table.ndim == 1:
-            return np.bincount(who, value * table[what], minlength=len(units))
-        return np.stack([np.bincount(who, value * table[what, j], minlength=len(units)) for j in range(table.shape[1])], 1)
+        return np.bincount(who, value * table[what], minlength=len(units))
+
+
+class Landmarks:
+    """Kernel values against fixed units."""
+
+    CHUNK = 256
+
+    def __init__(self, f: Features, units: list[str]):
+        self.f = f
+        who, what, value = f.of(units)
+        codes, at = np.unique(what, return_inverse=True)
+        self.where = np.zeros(BASE**3, np.int32)  # 0: in no landmark
+        self.where[codes] = np.arange(1, len(codes) + 1)
+        self.dense = np.zeros((len(codes) + 1, len(units)), np.float32)
+        self.dense[at + 1, who] = value
+        self.codes = codes
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        out = np.zeros((len(units), self.dense.shape[1]), np.float32)
+        for i in range(0, len(units), self.CHUNK):
+            who, what, value = self.f.of(units[i : i + self.CHUNK])
+            row = self.where[what]
+            who, row, value = who[row > 0], row[row > 0], value[row > 0]
+            if len(who):
+                starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                out[i + who[starts]] = np.add.reduceat(self.dense[row] * value[:, None].astype(np.float32), starts, axis=0)
+        return out
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """The landmarks' weighted sum, written out by code."""
+        out = np.zeros(BASE**3, np.float32)
+        out[self.codes] = self.dense[1:] @ weights
+        return out
+
+
+def _root(kmm: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh((kmm + kmm.T).astype(float) / 2)
+    good = values > 1e-6
+    return vectors[:, good] / np.sqrt(values[good])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
@@ -134,13 +176,26 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, start
 @dataclass
 class Model:
     kernel: Kernel
-    table: np.ndarray  # weight of every subsequence: the landmarks' sum, written out
+    table: np.ndarray  # first machine: the weight of every subsequence
     offset: float
+    marks: list[str]  # second machine: landmarks, their weights, offset
+    weights: np.ndarray
+    offset2: float
     top: np.ndarray  # logistic weights of the best units' scores, the last the constant
     low: float
 
     def unit_scores(self, units: list[str]) -> np.ndarray:
-        return Features(self.kernel).against(units, self.table) + self.offset if units else np.empty(0)
+        out = np.full(len(units), self.low)
+        if not len(units) or not self.marks:
+            return out
+        f = Features(self.kernel)
+        if not hasattr(self, "_held"):
+            self._held = Landmarks(f, self.marks)
+        over = np.flatnonzero(f.linear(units, self.table) + self.offset > self.kernel.gate)
+        if len(over):
+            near = np.exp(self.kernel.sharp * (self._held.kernel([units[i] for i in over]) - 1))
+            out[over] = np.maximum(near @ self.weights + self.offset2, self.low)
+        return out
 
     def scorer(self, limit: int = 300_000):
         """A function from texts to scores that remembers the units it has seen, up to a bound."""
@@ -159,15 +214,15 @@ class Model:
                 for i, s in zip(real, self.unit_scores([names[i] for i in real])):
                     value[part[i]] = float(s)
                 seen.update(value)
-            tops = np.array([self.tops([seen[t] for t in f]) for f in found]).reshape(len(found), self.kernel.tops)
+            tops = np.array([self.tops([seen[t] for t in f]) for f in found]).reshape(len(found), self.kernel.tops + 1)
             return 1 / (1 + np.exp(-np.clip(tops @ self.top[:-1] + self.top[-1], -30, 30)))
 
         return score
 
     def tops(self, scores: list[float]) -> list[float]:
-        """The best scores, cut to the range that the machine separates."""
+        """The best scores, cut to the range that the machine separates, and the log of how many there were."""
         best = sorted(scores, reverse=True)[: self.kernel.tops]
-        return [min(max(s, self.low), 1.5) for s in best] + [self.low] * (self.kernel.tops - len(best))
+        return [min(max(s, self.low), 1.5) for s in best] + [self.low] * (self.kernel.tops - len(best)) + [math.log1p(len(scores))]
 
 
 def sentences(docs: DataFrame, labels: DataFrame, k: Kernel, learn, doc_id="doc_id", text="text", label="toxic") -> DataFrame:
@@ -216,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(k, np.zeros(BASE**3, np.float32), 0.0, np.array([0.0] * k.tops + [np.log(share / (1 - share))]), low)
+        return Model(k, np.zeros(BASE**3, np.float32), 0.0, [], np.zeros(0), 0.0, np.array([0.0] * (k.tops + 1) + [np.log(share / (1 - share))]), low)
     flat, ends = table.column("units").combine_chunks(), None
     ends = flat.offsets.to_numpy()
     coded = flat.values.dictionary_encode()
@@ -232,36 +287,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     order = np.lexsort((np.arange(len(names)), -pos * np.maximum(excess, 0)))
     rng = np.random.default_rng(7)
     clean = np.flatnonzero(neg > 0)
-    clean = rng.permutation(clean)[: k.most_units // 4]
+    clean = rng.permutation(clean)[: k.most_units]
     # landmarks: half the units that mark toxic documents best, half clean ones
     marks = np.concatenate([order[: k.landmarks // 2], clean[: k.landmarks - k.landmarks // 2]])
     marks = marks[np.sort(np.unique(marks, return_index=True)[1])]
     f = Features(k)
-    dense = np.zeros((BASE**3, len(marks)), np.float32)
-    who, what, value = f.of(list(names[marks]))
-    dense[what, who] = value
-    kmm = f.against(list(names[marks]), dense)
-    values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
-    good = values > 1e-6
-    root = vectors[:, good] / np.sqrt(values[good])
+    held = Landmarks(f, list(names[marks]))
+    root = _root(held.kernel(list(names[marks])))
 
     def mapped(which):
-        return np.concatenate([f.against(list(names[which[i : i + 4000]]), dense) for i in range(0, len(which), 4000)]) @ root
+        return held.kernel(list(names[which])) @ root
 
     x_clean = mapped(clean)
-    w_clean = np.minimum(neg[clean], 20.0)
+    w_clean = neg[clean] ** 0.7
     bags = [np.unique(at[ends[i] : ends[i + 1]]) for i in np.flatnonzero(y == 1)]
-    witness = np.flatnonzero((pos >= max(3, 0.004 * (y == 1).sum())) & (excess > 0.7))
+    witness = np.flatnonzero((pos >= max(3, 0.004 * (y == 1).sum())) & (excess > 0.7))  # in order of number
     if not len(witness):
         witness = order[: max(1, k.landmarks // 4)]
-    weight = np.minimum(pos[witness], 50.0)
+    first, pull = witness, np.minimum(pos[witness], 50.0)
+    weight = pull
     beta = None
     for turn in range(k.rounds):
         x = np.vstack([mapped(witness), x_clean])
         sign = np.concatenate([np.ones(len(witness)), -np.ones(len(clean))])
         each = np.concatenate([weight / weight.sum(), w_clean / w_clean.sum()])
         beta = _svm(x, sign, each, k.penalty, beta)
-        collapsed = dense @ (root @ beta[:-1])
+        collapsed = held.table(root @ beta[:-1])
         offset = float(beta[-1])
         if turn + 1 == k.rounds:
             break
@@ -269,14 +320,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
         score = np.full(len(names), -9.0)
         for i in range(0, len(every), 20_000):
             part = every[i : i + 20_000]
-            score[part] = f.against(list(names[part]), collapsed) + offset
+            score[part] = f.linear(list(names[part]), collapsed) + offset
         best = np.array([b[np.argmax(score[b])] for b in bags])
         best = best[score[best] > -0.3]  # a bag without any such unit is taken for a wrong label
         if not len(best):
             break
-        witness, times = np.unique(best, return_counts=True)
+        # the units that gave themselves away at first stay, or a bag's best one would push its others out
+        witness, times = np.unique(np.concatenate([best, first]), return_counts=True)
         weight = np.minimum(times.astype(float), 50.0)
-    model = Model(k, collapsed.astype(np.float32), offset, np.zeros(k.tops + 1), low)
+        weight[np.searchsorted(witness, first)] = pull
+    # second machine: the witnesses against the clean units that the first one finds hard, and some others
+    linear = np.concatenate([f.linear(list(names[i : i + 20_000]), collapsed) for i in range(0, len(names), 20_000)]) + offset
+    hard = np.flatnonzero((neg > 0) & (linear > k.gate))
+    hard = hard[np.argsort(-linear[hard], kind="stable")][: k.most_units]
+    hard = np.setdiff1d(np.concatenate([hard, clean[:2000]]), witness)
+    spread = np.argsort(-neg[hard], kind="stable")
+    marks = np.concatenate([witness[np.argsort(-weight, kind="stable")][: k.landmarks * 2 // 3], hard[spread][: k.landmarks // 3]])
+    held = Landmarks(f, list(names[marks]))
+
+    def sharp(which):
+        return np.exp(k.sharp * (held.kernel(list(names[which])).astype(float) - 1))
+
+    root = _root(sharp(marks))
+    x = np.vstack([sharp(witness), sharp(hard)]) @ root
+    sign = np.concatenate([np.ones(len(witness)), -np.ones(len(hard))])
+    each = np.concatenate([weight / weight.sum(), neg[hard] / neg[hard].sum() if len(hard) else []])
+    beta = _svm(x, sign, each, k.penalty)
+    model = Model(k, collapsed, offset, list(names[marks]), root @ beta[:-1], float(beta[-1]), np.zeros(k.tops + 2), low)
     score = np.concatenate([model.unit_scores(list(names[i : i + 20_000])) for i in range(0, len(names), 20_000)])
     tops = np.array([model.tops(list(score[at[ends[i] : ends[i + 1]]])) for i in range(len(y))])
     model.top = _logistic(tops, y)
