@@ -22,7 +22,7 @@ class Sketch:
 
     A register is 1 - floor(log_base(minimum)) over the elements' exponential values of rate ``rate``, cut to 0 .. 65535.
     ``bands`` times ``rows`` registers; two sets at the threshold of 0.8 miss all bands with probability
-    (1 - 0.8^rows)^bands, about 7e-5 here, and fall under ``doubt`` in the estimate at about four standard errors.
+    (1 - 0.8^rows)^bands, about 7e-5 here, and fall under ``doubt`` in the estimate at more than three standard errors.
     """
 
     words: int = 4
@@ -31,7 +31,7 @@ class Sketch:
     rows: int = 5
     base: float = 1.001
     rate: float = 20.0
-    doubt: float = 0.65
+    doubt: float = 0.68
     block: int = 256
 
     @property
@@ -212,14 +212,14 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
     # large components get blocks of their own, the others of a bucket share blocks
     big = F.when(F.col("held") >= size, F.col("component"))
     rows = members.join(per.select("key", "component", "held"), ["key", "component"])
-    rows = rows.select("key", "component", "rep", F.coalesce(big, F.lit(-1)).alias("own"))
+    rows = rows.select("key", "band", "component", "rep", F.coalesce(big, F.lit(-1)).alias("own"))
     groups = rows.groupBy("key", "own").agg(F.count(F.lit(1)).alias("size"))
     groups = groups.withColumn("blocks", F.ceil(F.col("size") / size).cast("int"))
     rows = rows.join(groups.select("key", "own", "blocks"), ["key", "own"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("rep", "regs", "n"), "rep")
     packed = rows.groupBy("key", "own", "block").agg(
-        F.collect_list(F.struct("rep", "component", "n", "regs")).alias("held")
+        F.min("band").alias("band"), F.collect_list(F.struct("rep", "component", "n", "regs")).alias("held")
     )
     packed = park(packed, "blocks")
     names = packed.select("key", "own", "block")
@@ -227,9 +227,9 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
     which = left.join(right, "key").where(
         (F.struct("o1", "b1") <= F.struct("o2", "b2")) & ((F.col("o1") != F.col("o2")) | (F.col("o1") == -1))
     )
-    a = packed.select("key", F.col("own").alias("o1"), F.col("block").alias("b1"), F.col("held").alias("x"))
+    a = packed.select("key", F.col("own").alias("o1"), F.col("block").alias("b1"), "band", F.col("held").alias("x"))
     b = packed.select("key", F.col("own").alias("o2"), F.col("block").alias("b2"), F.col("held").alias("y"))
-    work = which.join(a, ["key", "o1", "b1"]).join(b, ["key", "o2", "b2"]).select("x", "y")
+    work = which.join(a, ["key", "o1", "b1"]).join(b, ["key", "o2", "b2"]).select("x", "y", "band")
 
     def side(column):
         held = column.values
@@ -237,13 +237,16 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
         named = [held.field(c).to_numpy() for c in ("rep", "component", "n")]
         return column.offsets.to_numpy(), *named[:2], named[2].astype(np.float64), regs
 
-    def plausible(x, y, i, j):
+    def plausible(x, y, i, j, band):
         """Of places (i, j) on the two sides those that may be links, with their estimates."""
         fit = x[2][i] != y[2][j]  # of different components
         fit &= (np.minimum(x[3][i], y[3][j]) * 100 >= np.maximum(x[3][i], y[3][j]) * p.percent)
-        i, j = i[fit], j[fit]
+        i, j, band = i[fit], j[fit], band[fit]
         # registers agree about as often as the sets do, so far fewer cannot reach the estimate asked for
-        fit = (x[4][i] == y[4][j]).sum(1) >= 0.75 * p.doubt * p.registers
+        agree = x[4][i] == y[4][j]
+        fit = agree.sum(1) >= 0.75 * p.doubt * p.registers
+        # a pair that meets in several buckets is taken in the first of its bands
+        fit &= agree.reshape(-1, p.bands, p.rows).all(2).argmax(1) == band
         i, j = i[fit], j[fit]
         value = likely(x[4][i], y[4][j], x[3][i], y[3][j], p.base)
         fit = value >= p.doubt
@@ -251,15 +254,15 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
 
     def run(batches):
         for batch in batches:
-            x, y = side(batch.column(0)), side(batch.column(1))
+            x, y, bands = side(batch.column(0)), side(batch.column(1)), batch.column(2).to_numpy()
             out, held, waiting = set(), [], 0
             for r in range(len(batch)):
                 a, b = np.arange(x[0][r], x[0][r + 1]), np.arange(y[0][r], y[0][r + 1])
-                held.append((np.repeat(a, len(b)), np.tile(b, len(a))))
+                held.append((np.repeat(a, len(b)), np.tile(b, len(a)), np.full(len(a) * len(b), bands[r])))
                 waiting += len(a) * len(b)
                 if waiting < 1 << 16 and r + 1 < len(batch):
                     continue
-                i, j, value = plausible(x, y, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                i, j, value = plausible(x, y, *(np.concatenate(c) for c in zip(*held)))
                 held, waiting = [], 0
                 if most is not None:
                     order = np.lexsort((-value, i))
@@ -304,22 +307,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = park(
         full.groupBy("sig").agg(F.min("row").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes"
     )
-    band = F.explode(
+    band = F.posexplode(
         F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * p.rows * i, 2 * p.rows)) for i in range(p.bands)])
     )
-    keys = classes.select("rep", band.alias("key"))
+    keys = classes.select("rep", band.alias("band", "key"))
     counts = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = park(keys.join(park(counts, "buckets").select("key", "first"), "key"), "members")
+    members = park(keys.join(park(counts, "buckets").select("key", "first"), "key").select("key", "band", "rep", "first"), "members")
     star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     tried = park(_estimate(star, classes, p), "pairs")
     links = _verified(tried, texts, p)
     roots = park(components(links), "roots")
-    for most in (4, None):
+    for most in (1, None):
         of = F.coalesce(F.col("component"), F.col("rep")).alias("component")
-        placed = park(
-            members.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", of), "placed"
-        )
+        placed = park(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", of), "placed")
         more = park(_across(placed, classes, p, most).join(tried, ["a", "b"], "left_anti"), "across")
         if more.isEmpty():
             break
