@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foreloom.llm.common import WordHashes, discard, mixed, park, raw, slices, small
 from foreloom.llm.components import components
-from foreloom.llm.prefix import prefixes
+from foreloom.llm.prefix import numbered
 
 
 @dataclass(frozen=True)
@@ -277,18 +277,6 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
     return work.mapInArrow(run, "a long, b long").distinct()
 
 
-def numbered(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_row``, unique and in the order of ids: the id itself where it can serve.
-
-    Otherwise (nulls, ids used twice, ids that are no integers) the rows are ranked and written once with their ranks.
-    """
-    if docs.schema[doc_id].dataType.simpleString() in ("bigint", "int"):
-        ids = docs.select(F.col(doc_id).cast("long").alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("n"))
-        if ids.where("n > 1 OR _row IS NULL").isEmpty():
-            return docs.withColumn("_row", F.col(doc_id).cast("long"))
-    return prefixes(docs, [], [F.col(doc_id).asc_nulls_last()]).withColumnRenamed("rank", "_row")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: Sketch = Sketch()) -> DataFrame:
     """(row, doc_id, n_shingles, component, kept) for every document of ``numbered`` documents.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import decontamination, exact_dedup, mixing, near_dedup, secrets, toxicity
+from foreloom.llm import decontamination, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from foreloom.llm.prefix import numbered
 from foreloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,24 @@ def _(table):
     return mixing.mix(table("documents"))
 
 
+@query("op3_line_dedup", line_dedup.SQL)
+def _(table):
+    """Every document without the passages of three lines or more that stand somewhere before."""
+    return line_dedup.digested(line_dedup.deduplicated(table("documents")))
+
+
+@query("op4_quality")
+def _(table):
+    """Quality of every document."""
+    return quality.quality(table("documents"), table("labels"))
+
+
+@query("op5_language")
+def _(table):
+    """Language of every document."""
+    return language.languages(table("documents"))
+
+
 @query("op6_toxicity")
 def _(table):
     """Toxicity of every document."""
@@ -50,10 +69,16 @@ def _(table):
 @query("op7_near_dedup")
 def _(table):
     """Every document with its component of near duplicates."""
-    found = near_dedup.near_duplicates(near_dedup.numbered(table("documents")))
+    found = near_dedup.near_duplicates(numbered(table("documents")))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+@query("op8_token_counts")
+def _(table):
+    """Tokens of every document by its lines."""
+    return token_counts.digested(token_counts.by_line(table("documents")))
+
+
 @query("op9_decontaminate")
 def _(table):
     """Every document with the benchmark items that it holds."""
