@@ -62,6 +62,7 @@ def mix(
     table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = park(rows, "words")  # a range partitioning reads its input twice; this way the texts are read once
     ranked = prefixes(rows, ["source"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last()])
     ranked = park(ranked, "sizes")
     sizes = park(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
