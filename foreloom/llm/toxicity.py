@@ -109,6 +109,28 @@ class Features:
         return np.bincount(who, value * table[what], minlength=len(units))
 
 
+    def most(self, units: list[str], table: np.ndarray) -> np.ndarray:
+        """What ``linear`` is at most, where that is positive: the sum over the length without repeats, which is no longer."""
+        k = self.k
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) + 2
+        text = "^" + "$^".join(units) + "$"
+        code = _CODES[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)].astype(np.int32)
+        owner = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+        total = np.zeros(len(code), np.float32)
+        square = np.zeros(len(units))
+        first, second = code * np.int32(BASE * BASE), code * np.int32(BASE)
+        for a, b in self.gaps:
+            n = len(code) - a - b
+            value = k.decay ** (a + b + 1)
+            square += np.maximum(sizes - a - b, 0) * value**2
+            if n > 0:
+                x = table[first[:n] + second[a : a + n] + code[a + b :]]
+                x *= owner[:n] == owner[a + b :]
+                total[:n] += np.float32(value) * x
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        return np.add.reduceat(total, starts) / np.sqrt(square)
+
+
 class Landmarks:
     """Kernel values against fixed units."""
 
@@ -191,7 +213,11 @@ class Model:
         f = Features(self.kernel)
         if not hasattr(self, "_held"):
             self._held = Landmarks(f, self.marks)
-        over = np.flatnonzero(f.linear(units, self.table) + self.offset > self.kernel.gate)
+        over = np.arange(len(units))
+        if self.offset < self.kernel.gate:  # then only units with a positive sum can be over the gate
+            over = np.flatnonzero(f.most(units, self.table) + self.offset > self.kernel.gate)
+        if len(over):
+            over = over[f.linear([units[i] for i in over], self.table) + self.offset > self.kernel.gate]
         if len(over):
             near = np.exp(self.kernel.sharp * (self._held.kernel([units[i] for i in over]) - 1))
             out[over] = np.maximum(near @ self.weights + self.offset2, self.low)
@@ -205,7 +231,7 @@ class Model:
             found = [tokens(t) for t in texts]
             if len(seen) > limit:
                 seen.clear()
-            new = list({t for f in found for t in f if t not in seen})
+            new = list(set().union(*(f.difference(seen) for f in found)))
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 names = [unit(t) for t in part]
@@ -214,7 +240,7 @@ class Model:
                 for i, s in zip(real, self.unit_scores([names[i] for i in real])):
                     value[part[i]] = float(s)
                 seen.update(value)
-            tops = np.array([self.tops([seen[t] for t in f]) for f in found]).reshape(len(found), self.kernel.tops + 1)
+            tops = np.array([self.tops(list(map(seen.__getitem__, f))) for f in found]).reshape(len(found), self.kernel.tops + 1)
             return 1 / (1 + np.exp(-np.clip(tops @ self.top[:-1] + self.top[-1], -30, 30)))
 
         return score
