@@ -27,9 +27,10 @@ class Kernel:
     The kernel counts common subsequences of three characters that span at most ``span``, each weighted by ``decay`` to
     the power of its span, and is normalised.  It is applied to the units of a sentence: words between boundary marks,
     without the signs inserted in them, letter by letter spellings taken as one.  A linear machine on it finds the toxic
-    units of the bags; units over its ``gate`` go to a second one, on the Gaussian exp(sharp * (kernel - 1)).
+    units of the bags; units over a gate go to a second one, on the Gaussian exp(sharp * (kernel - 1)).
     ``toxic`` and ``clean`` bound the labelled documents the fit reads, ``most_units`` its clean units, ``landmarks``
-    the approximation of the kernels.
+    the approximation of the kernels.  The gate lets a share ``passing`` of the clean units through, more if it would
+    stop more than one in a hundred of the toxic units found.
     """
 
     span: int = 6
@@ -41,7 +42,7 @@ class Kernel:
     rounds: int = 3
     penalty: float = 1e-4
     sharp: float = 3.0
-    gate: float = -0.5
+    passing: float = 0.05
     tops: int = 3
 
 
@@ -203,6 +204,7 @@ class Model:
     marks: list[str]  # second machine: landmarks, their weights, offset
     weights: np.ndarray
     offset2: float
+    gate: float
     top: np.ndarray  # logistic weights of the best units' scores, the last the constant
     low: float
 
@@ -214,10 +216,10 @@ class Model:
         if not hasattr(self, "_held"):
             self._held = Landmarks(f, self.marks)
         over = np.arange(len(units))
-        if self.offset < self.kernel.gate:  # then only units with a positive sum can be over the gate
-            over = np.flatnonzero(f.most(units, self.table) + self.offset > self.kernel.gate)
+        if self.offset < self.gate:  # then only units with a positive sum can be over the gate
+            over = np.flatnonzero(f.most(units, self.table) + self.offset > self.gate)
         if len(over):
-            over = over[f.linear([units[i] for i in over], self.table) + self.offset > self.kernel.gate]
+            over = over[f.linear([units[i] for i in over], self.table) + self.offset > self.gate]
         if len(over):
             near = np.exp(self.kernel.sharp * (self._held.kernel([units[i] for i in over]) - 1))
             out[over] = np.maximum(near @ self.weights + self.offset2, self.low)
@@ -297,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(k, np.zeros(BASE**3, np.float32), 0.0, [], np.zeros(0), 0.0, np.array([0.0] * (k.tops + 1) + [np.log(share / (1 - share))]), low)
+        return Model(k, np.zeros(BASE**3, np.float32), 0.0, [], np.zeros(0), 0.0, 0.0, np.array([0.0] * (k.tops + 1) + [np.log(share / (1 - share))]), low)
     flat, ends = table.column("units").combine_chunks(), None
     ends = flat.offsets.to_numpy()
     coded = flat.values.dictionary_encode()
@@ -328,9 +330,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     w_clean = neg[clean] ** 0.7
     bags = [np.unique(at[ends[i] : ends[i + 1]]) for i in np.flatnonzero(y == 1)]
     witness = np.flatnonzero((pos >= max(3, 0.004 * (y == 1).sum())) & (excess > 0.7))  # in order of number
+    # a bag's units share its credit, so that the vocabulary of a toxic document with many copies does not stand out
+    for _ in range(3):
+        mark = np.zeros(len(names), bool)
+        mark[witness] = True
+        credit = np.zeros(len(names))
+        for b in bags:
+            own = b[mark[b]]
+            credit[own] += 1 / max(len(own), 1)
+        witness = witness[credit[witness] >= max(1.0, 0.002 * len(bags))]
     if not len(witness):
         witness = order[: max(1, k.landmarks // 4)]
-    first, pull = witness, np.minimum(pos[witness], 50.0)
+    first, pull = witness, np.minimum(credit[witness] + 1.0, 50.0)
+    told = np.zeros(len(names), bool)
+    told[first] = True
+    bags = [b for b in bags if not told[b].any()]  # only bags without such a unit are searched further
     weight = pull
     beta = None
     for turn in range(k.rounds):
@@ -342,13 +356,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
         offset = float(beta[-1])
         if turn + 1 == k.rounds:
             break
-        every = np.unique(np.concatenate(bags))
+        every = np.unique(np.concatenate([np.empty(0, int), *bags]))
         score = np.full(len(names), -9.0)
         for i in range(0, len(every), 20_000):
             part = every[i : i + 20_000]
             score[part] = f.linear(list(names[part]), collapsed) + offset
-        best = np.array([b[np.argmax(score[b])] for b in bags])
-        best = best[score[best] > -0.3]  # a bag without any such unit is taken for a wrong label
+        best = np.array([b[np.argmax(score[b])] for b in bags], int)
+        best = best[score[best] > 0]  # a bag without any such unit is taken for a wrong label
         if not len(best):
             break
         # the units that gave themselves away at first stay, or a bag's best one would push its others out
@@ -357,7 +371,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
         weight[np.searchsorted(witness, first)] = pull
     # second machine: the witnesses against the clean units that the first one finds hard, and some others
     linear = np.concatenate([f.linear(list(names[i : i + 20_000]), collapsed) for i in range(0, len(names), 20_000)]) + offset
-    hard = np.flatnonzero((neg > 0) & (linear > k.gate))
+    gate = float(min(np.quantile(linear[clean], 1 - k.passing), np.quantile(linear[witness], 0.01))) if len(clean) else -9.0
+    hard = np.flatnonzero((neg > 0) & (linear > gate))
     hard = hard[np.argsort(-linear[hard], kind="stable")][: k.most_units]
     hard = np.setdiff1d(np.concatenate([hard, clean[:2000]]), witness)
     spread = np.argsort(-neg[hard], kind="stable")
@@ -372,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     sign = np.concatenate([np.ones(len(witness)), -np.ones(len(hard))])
     each = np.concatenate([weight / weight.sum(), neg[hard] / neg[hard].sum() if len(hard) else []])
     beta = _svm(x, sign, each, k.penalty)
-    model = Model(k, collapsed, offset, list(names[marks]), root @ beta[:-1], float(beta[-1]), np.zeros(k.tops + 2), low)
+    model = Model(k, collapsed, offset, list(names[marks]), root @ beta[:-1], float(beta[-1]), gate, np.zeros(k.tops + 2), low)
     score = np.concatenate([model.unit_scores(list(names[i : i + 20_000])) for i in range(0, len(names), 20_000)])
     tops = np.array([model.tops(list(score[at[ends[i] : ends[i + 1]]])) for i in range(len(y))])
     model.top = _logistic(tops, y)
