@@ -55,11 +55,11 @@ class JoinGraph:
     ) -> "JoinGraph":
         """Register a relation: numeric features X, set-split ``categorical``, one-value ``category``."""
         if name in self.relations and not replace:
-            raise JoinGraphError(f"{name} already exists!")
+            raise JoinGraphError(f"relation {name} is registered; pass replace=True to change it")
         wanted = [*X, *categorical, *category, *([y] if y else [])]
         missing = [c for c in wanted if c not in frame.columns]
         if missing:
-            raise JoinGraphError(f"{name} has no attributes {missing}")
+            raise JoinGraphError(f"columns {missing} are not in the frame of {name}")
         features = {**{c: NUM for c in X}, **{c: LCAT for c in categorical}, **{c: CAT for c in category}}
         self.relations[name] = Relation(name, frame, features)
         self.edges.setdefault(name, {})
@@ -69,13 +69,13 @@ class JoinGraph:
 
     def add_join(self, left: str, right: str, left_keys: Sequence[str], right_keys: Sequence[str]) -> "JoinGraph":
         if len(left_keys) != len(right_keys):
-            raise JoinGraphError("Join keys have different lengths!")
+            raise JoinGraphError(f"{left} and {right} need as many key columns on either side")
         for name, keys in ((left, left_keys), (right, right_keys)):
             if name not in self.relations:
-                raise JoinGraphError(f"{name} doesn't exist!")
+                raise JoinGraphError(f"register {name} before joining it")
             unknown = [k for k in keys if k not in self.relations[name].frame.columns]
             if unknown:
-                raise JoinGraphError(f"{name} has no attributes {unknown}")
+                raise JoinGraphError(f"key columns {unknown} are not in the frame of {name}")
         self.edges[left][right] = (list(left_keys), list(right_keys))
         self.edges[right][left] = (list(right_keys), list(left_keys))
         return self
@@ -191,13 +191,13 @@ class JoinGraph:
         while pending:
             name, parent = pending.pop()
             if name in seen:
-                raise JoinGraphError("The join graph is cyclic!")
+                raise JoinGraphError(f"{name} is reached twice: a cyclic graph cannot pass messages")
             seen.add(name)
             pending += [(n, name) for n in self.neighbours(name, parent)]
         if len(seen) != len(self.relations):
-            raise JoinGraphError("The join graph is disjoint!")
+            raise JoinGraphError(f"disjoint graph: no path to {sorted(set(self.relations) - seen)}")
         if self.target is None or self.target_relation is None:
-            raise JoinGraphError("Target variable doesn't exist!")
+            raise JoinGraphError("no relation holds the target (y)")
 
     def validate(self) -> None:
         """Shape of the graph, and that every dimension side is unique and covers its fact side."""
@@ -207,9 +207,9 @@ class JoinGraph:
             if parent is None:
                 continue
             if (self.statistics[name, parent]["multiplicity"] or 0) > 1:
-                raise JoinGraphError(f"The target table is not a fact table: see {name} and {parent}.")
+                raise JoinGraphError(f"a key of {parent} meets several rows of {name}; the target has to be on the many side")
             if self.statistics[parent, name]["missing"]:
-                raise JoinGraphError(f"Keys of {parent} are missing in {name}.")
+                raise JoinGraphError(f"{name} lacks keys that {parent} has")
 
     def infer_features(self, name: str, exclude: Sequence[str] = (), few: int = 30) -> dict[str, str]:
         """Kinds by type and number of distinct values, measured in one pass."""

@@ -41,52 +41,41 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(place.alias("place"), F.trim(F.translate("line", *_encoding_pairs())).alias("line")).where(F.col("line") != "")
 
 
+# Header words of the format with the kind of what follows them, and the words for true and false.
+HEADER_WORDS = {"frequency": str, "horizon": int, "missing": bool, "equallength": bool}
+TRUE_WORDS = ("y", "yes", "t", "true", "on", "1")
+FALSE_WORDS = ("n", "no", "f", "false", "off", "0")
+
+
+class SeriesFileError(ValueError):
+    """A series file that does not keep to the format."""
+
+
+def _value(text: str, kind: type):
+    if kind is not bool:
+        return kind(text)
+    if text.lower() not in TRUE_WORDS + FALSE_WORDS:
+        raise SeriesFileError(f"{text!r} is neither a word for true nor for false")
+    return text.lower() in TRUE_WORDS
+
+
 def read_tsf_meta(spark: SparkSession, path: str) -> dict:
-    """Header of a file: attribute names and types, frequency, horizon, flags."""
+    """Header of a file: ``attributes`` (name to type, in order) and the header words that it has."""
     lines = _lines(spark, path)
-    # the header is a handful of lines, known by their first character
-    header = [r["line"] for r in lines.where(F.col("line").startswith("@")).orderBy("place").collect()]
-    if not header and lines.isEmpty():
-        raise ValueError("Empty file.")
-    meta: dict = {"column_names": [], "column_types": []}
-    found_data = False
-    for line in header:
-        words = line.split(" ")
-        if line.startswith("@data"):
-            if not meta["column_names"]:
-                raise ValueError("Missing attribute section. Attribute section must come before data.")
-            found_data = True
-        elif line.startswith("@attribute"):
-            if len(words) != 3:
-                raise ValueError("Invalid meta-data specification.")
-            if words[2] not in TYPES:
-                raise ValueError("Invalid attribute type.")
-            meta["column_names"].append(words[1])
-            meta["column_types"].append(words[2])
-        elif len(words) != 2:
-            raise ValueError("Invalid meta-data specification.")
-        elif line.startswith("@frequency"):
-            meta["frequency"] = words[1]
-        elif line.startswith("@horizon"):
-            meta["forecast_horizon"] = int(words[1])
-        elif line.startswith("@missing"):
-            meta["contain_missing_values"] = _flag(words[1])
-        elif line.startswith("@equallength"):
-            meta["contain_equal_length"] = _flag(words[1])
-    if not meta["column_names"]:
-        raise ValueError("Missing attribute section.")
-    if not found_data:
-        raise ValueError("Missing @data tag.")
-    return meta
-
-
-def _flag(text: str) -> bool:
-    """Words for true and false."""
-    if text.lower() in ("y", "yes", "t", "true", "on", "1"):
-        return True
-    if text.lower() in ("n", "no", "f", "false", "off", "0"):
-        return False
-    raise ValueError(f"invalid truth value {text}")
+    # header lines begin with an at sign; there are a handful of them
+    header = [r["line"][1:].split() for r in lines.where(F.col("line").startswith("@")).orderBy("place").collect()]
+    words = [h[0] if h else "" for h in header]
+    attributes = [h[1:] for h in header if h and h[0] == "attribute"]
+    bad = [a for a in attributes if len(a) != 2 or a[1] not in TYPES]
+    if bad:
+        raise SeriesFileError(f"attributes need a name and one of the types {sorted(TYPES)}: {bad}")
+    if not attributes or "data" not in words or words.index("data") < words.index("attribute"):
+        raise SeriesFileError("a header declares its attributes and then opens the data section")
+    found = {h[0]: h[1:] for h in header if h and h[0] in HEADER_WORDS}
+    loose = [k for k, v in found.items() if len(v) != 1]
+    if loose:
+        raise SeriesFileError(f"header words with one value each: {loose}")
+    return {"attributes": dict(attributes), **{k: _value(v[0], HEADER_WORDS[k]) for k, v in found.items()}}
 
 
 def _typed(field: Column, kind: str) -> Column:
@@ -104,19 +93,19 @@ def read_tsf_series(
     ``strict`` a series of missing values only is one too.
     """
     meta = meta or read_tsf_meta(spark, path)
-    names, kinds = meta["column_names"], meta["column_types"]
+    names, kinds = list(meta["attributes"]), list(meta["attributes"].values())
     is_data = ~F.col("line").startswith("@") & ~F.col("line").startswith("#")
     lines = _lines(spark, path).where(is_data)
     parts = F.split("line", ":", -1)
     # the condition is repeated here because Spark may move the check below the filter
-    wrong = F.raise_error(F.lit("Dataset row has wrong number of fields")).cast("array<string>")
+    wrong = F.raise_error(F.lit("a line has more or fewer fields than the header declares")).cast("array<string>")
     checked = F.when(F.size(parts) == len(names) + 1, parts).when(is_data, wrong)
     rows = lines.select("place", checked.alias("f"))
     text = F.split(F.col("f")[len(names)], ",", -1)
     value = F.transform(text, lambda v: F.when(v == "?", F.lit(missing).cast("double")).otherwise(v.cast("double")))
     if strict:
         empty = F.forall(text, lambda v: v == "?")
-        value = F.when(empty, F.raise_error(F.lit("All series values are missing.")).cast("array<double>")).otherwise(value)
+        value = F.when(empty, F.raise_error(F.lit("a series without any value")).cast("array<double>")).otherwise(value)
     typed = [_typed(F.col("f")[i], k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))]
     return rows.select("place", *typed, value.alias("series"))
 

@@ -239,7 +239,7 @@ def _root(t, g):
     """Feature sums of all rows as one node, and the node's totals."""
     facts = M.lift(g).withColumns({"tree": F.lit(0), "node": F.lit(1).cast("long")})
     model = DecisionTree()
-    model._small = {n: True for n in g.relations}
+    model._sizes(g)  # only relations measured to be small are broadcast
     values = model._values(g, facts)
     totals = M.semiring_sum(facts, ["tree", "node"]).select(
         "tree", "node", F.col("s").alias("total_s"), F.col("c").cast("double").alias("total_c")

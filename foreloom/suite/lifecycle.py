@@ -148,11 +148,14 @@ def _streamed(t, policy: str, name: str):
     registry = Registry(t.spark, scratch(t, "registry"))
     registry.write(fixed_snapshot(t, rows.where(F.col("ts") < cutoff)))
     folder = scratch(t, name)
-    days = ["2024-01-24", "2024-01-27", "2024-12-31"]
+    days = ["2024-01-24", "2024-01-27", None]  # the last part has no end
     low = SPLIT
     for day in days:
-        high = f"{day} 00:00:00"
-        part = rows.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+        high = None
+        part = rows.where(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
+        if day is not None:
+            high = f"{day} 00:00:00"
+            part = part.where(F.col("ts") < F.lit(high).cast("timestamp_ntz"))
         part.orderBy("ts").coalesce(1).write.mode("append").parquet(folder)
         low = high
     q = I.on_insert(

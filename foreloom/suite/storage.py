@@ -84,12 +84,12 @@ def _(t):
     meta = tsf.read_tsf_meta(t.spark, path)
     n = tsf.read_tsf_series(t.spark, path, meta=meta).agg(F.count("*").alias("series"))
     names = F.explode(F.arrays_zip(
-        F.array(*[F.lit(c) for c in meta["column_names"]]).alias("a"), F.array(*[F.lit(c) for c in meta["column_types"]]).alias("b")
+        F.array(*[F.lit(c) for c in meta["attributes"]]).alias("a"), F.array(*[F.lit(c) for c in meta["attributes"].values()]).alias("b")
     )).alias("z")
     return n.select("series", names).select(
         F.col("z.a").alias("attribute"), F.col("z.b").alias("type"), F.lit(meta["frequency"]).alias("frequency"),
-        F.lit(meta["forecast_horizon"]).alias("horizon"), F.lit(meta["contain_missing_values"]).alias("missing"),
-        F.lit(meta["contain_equal_length"]).alias("equal_length"), "series",
+        F.lit(meta["horizon"]).alias("horizon"), F.lit(meta["missing"]).alias("missing"),
+        F.lit(meta["equallength"]).alias("equal_length"), "series",
     )
 
 

@@ -23,8 +23,8 @@ def write(tmp_path, lines):
 def test_series_file(spark, tmp_path):
     path = write(tmp_path, [*HEADER, "T1:2020-01-01 00-00-00:1.5,?,3", "T€:2020-01-01 00-00-00:4,5", "T3:2021-01-01 00-00-00:6"])
     meta = tsf.read_tsf_meta(spark, path)
-    assert meta["frequency"] == "10_minutes" and meta["forecast_horizon"] == 4
-    assert meta["contain_missing_values"] and not meta["contain_equal_length"]
+    assert meta["frequency"] == "10_minutes" and meta["horizon"] == 4
+    assert meta["missing"] and not meta["equallength"]
     series = tsf.read_tsf_series(spark, path).orderBy("place").collect()
     assert [r["series_name"] for r in series] == ["T1", "T€", "T3"]
     assert series[0]["series"] == [1.5, None, 3.0]
@@ -37,9 +37,9 @@ def test_series_file(spark, tmp_path):
 @pytest.mark.parametrize(
     "lines, message",
     [
-        ([*HEADER, "T1:1,2"], "wrong number of fields"),
-        (HEADER[:1] + HEADER[3:], "Missing attribute section"),
-        (HEADER[:-1], "Missing @data"),
+        ([*HEADER, "T1:1,2"], "more or fewer fields"),
+        (HEADER[:1] + HEADER[3:], "declares its attributes"),
+        (HEADER[:-1], "opens the data section"),
     ],
 )
 def test_bad_series_files(spark, tmp_path, lines, message):
@@ -49,7 +49,7 @@ def test_bad_series_files(spark, tmp_path, lines, message):
 
 def test_series_of_missing_values_only(spark, tmp_path):
     path = write(tmp_path, [*HEADER, "T1:2020-01-01 00-00-00:?,?"])
-    with pytest.raises(Exception, match="All series values are missing"):
+    with pytest.raises(Exception, match="without any value"):
         tsf.read_tsf_series(spark, path, strict=True).collect()
 
 
