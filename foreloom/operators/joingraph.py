@@ -209,7 +209,7 @@ class JoinGraph:
             if (self.statistics[name, parent]["multiplicity"] or 0) > 1:
                 raise JoinGraphError(f"a key of {parent} meets several rows of {name}; the target has to be on the many side")
             if self.statistics[parent, name]["missing"]:
-                raise JoinGraphError(f"{name} lacks keys that {parent} has")
+                raise JoinGraphError(f"incomplete dimension {name}: some keys of {parent} are missing there")
 
     def infer_features(self, name: str, exclude: Sequence[str] = (), few: int = 30) -> dict[str, str]:
         """Kinds by type and number of distinct values, measured in one pass."""
