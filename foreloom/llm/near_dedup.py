@@ -22,7 +22,7 @@ class Sketch:
 
     A register is 1 - floor(log_base(minimum)) over the elements' exponential values of rate ``rate``, cut to 0 .. 65535.
     ``bands`` times ``rows`` registers; two sets at the threshold of 0.8 miss all bands with probability
-    (1 - 0.8^rows)^bands, about 7e-5 here, and fall under ``doubt`` in the estimate at more than three standard errors.
+    (1 - 0.8^rows)^bands, about 7e-5 here, and fall under ``doubt`` in the estimate at about four standard errors.
     """
 
     words: int = 4
@@ -31,7 +31,7 @@ class Sketch:
     rows: int = 5
     base: float = 1.001
     rate: float = 20.0
-    doubt: float = 0.68
+    doubt: float = 0.65
     block: int = 256
 
     @property
