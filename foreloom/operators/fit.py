@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -361,12 +362,12 @@ def autoarima_search(
     plan: DataFrame,
     stop: str = "reference",
     strict_aicc: bool = False,
-    max_rounds: int = 25,
 ) -> DataFrame:
     """Every candidate that the search fits, with its round and criterion.
 
     The driver loops over rounds; what a round fits is a DataFrame of (series,
-    order) pairs.  With ``stop="reference"`` a series goes on only while the fit
+    order) pairs.  No pair is fitted twice and orders are bounded, so that the
+    search ends by its rule.  With ``stop="reference"`` a series goes on only while the fit
     with the constant switched beats everything seen; ``stop="any"`` goes on
     while anything improved.
     """
@@ -390,7 +391,7 @@ def autoarima_search(
 
     tried = fitted(first, 0)
     active = base
-    for number in range(1, max_rounds + 1):
+    for number in count(1):
         current = best_candidate(tried, keys).select(*keys, "p", "q", F.col("aicc").alias("best"))
         current = cut(current.join(active.select(*keys, "d", "include_c"), keys))
         if current.isEmpty():
@@ -407,6 +408,8 @@ def autoarima_search(
         around = around.where(F.col("p").between(0, K.MAX_P) & F.col("q").between(0, K.MAX_Q))
         fresh = around.join(tried.select(*keys, "p", "q").distinct(), [*keys, "p", "q"], "left_anti")
         switched = current.select(*keys, "d", "p", "q", (~F.col("include_c")).alias("constant"), F.lit(True).alias("switched"))
+        # one that was fitted before lost to the current best, or is it: it cannot win now
+        switched = switched.join(tried.select(*keys, "p", "q", "constant").distinct(), [*keys, "p", "q", "constant"], "left_anti")
         wave = fresh.select(*switched.columns).unionByName(switched)
         added = fitted(wave.drop("switched"), number)
         turned = added.join(
@@ -416,7 +419,7 @@ def autoarima_search(
             switched.select(*keys, "p", "q", "constant"), [*keys, "p", "q", "constant"], "left_anti"
         )
         best_other = others.groupBy(*keys).agg(F.min("aicc").alias("other"))
-        scores = current.join(turned, keys).join(best_other, keys, "left")
+        scores = current.join(turned, keys, "left").join(best_other, keys, "left")
         seen = F.least("best", "other")
         better = F.col("turned") < seen
         if stop == "any":
