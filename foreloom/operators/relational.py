@@ -13,6 +13,9 @@ from foreloom.functions.scalars import micros
 from foreloom.plans.ordered import peer_running_sums
 from foreloom.session import cut
 
+# Copies of one row that are numbered at a time.
+COPIES = 65_536
+
 
 @dataclass
 class Query:
@@ -133,12 +136,18 @@ def cumsum_by_value(df: DataFrame, value: str, sums: dict[str, str], keys: Seque
 def cumcount(df: DataFrame, name: str = "nth") -> DataFrame:
     """Which occurrence of its full row each row is.
 
-    Copies are counted first and then numbered, so that a row with very many
-    copies is expanded from one counted row instead of being sorted in a task.
+    Copies are counted first and then numbered in blocks of ``COPIES``; the blocks
+    of a row with more copies than that are dealt to many tasks.
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return counted.select(*df.columns, numbers.alias(name))
+    last = F.floor((F.col("__copies") - 1) / COPIES)
+    few = counted.where(F.col("__copies") <= COPIES).withColumn("__block", F.lit(0).cast("long"))
+    many = counted.where(F.col("__copies") > COPIES)
+    many = many.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = few.unionByName(many.repartition(*df.columns, "__block"))
+    start = F.col("__block") * COPIES
+    numbers = F.explode(F.sequence(start + 1, F.least(F.col("__copies"), start + COPIES)))
+    return blocks.select(*df.columns, numbers.alias(name))
 
 
 def argmax_per_group(df: DataFrame, groups: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:
@@ -147,9 +156,9 @@ def argmax_per_group(df: DataFrame, groups: Sequence[str], score: str, ties: Seq
     rank = F.struct(F.col(score), *[F.col(c) for c in ties])
     if not ties:
         return df.groupBy(*groups).agg(F.max_by(F.struct(*rest), rank).alias("b")).select(*groups, "b.*")
-    best = F.max(score).alias("__best")
-    tops = df.join(df.groupBy(*groups).agg(best), list(groups)).where(F.col(score) == F.col("__best"))
-    picked = tops.groupBy(*groups).agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("b"))
+    # a score that is not a number counts as the highest, as in the order of Spark
+    rank = F.struct(~F.isnan(score), -F.col(score), *[F.col(c) for c in ties])
+    picked = df.where(F.col(score).isNotNull()).groupBy(*groups).agg(F.min_by(F.struct(*rest), rank).alias("b"))
     return picked.select(*groups, "b.*")
 
 

@@ -78,7 +78,8 @@ def scored_splits(values: DataFrame, totals: DataFrame, long_groups: bool = Fals
     if long_groups:
         sums = running_sums(marked, [*GROUP, "kind"], ["place", "cat"], {"rs": "s", "rc": "c"})
     else:
-        w = Window.partitionBy(*GROUP, "kind").orderBy("place", "cat").rowsBetween(Window.unboundedPreceding, 0)
+        alone = F.when(~ranked, F.col("cat"))  # a window of its own, so that a feature of many values spreads
+        w = Window.partitionBy(*GROUP, "kind", alone).orderBy("place", "cat").rowsBetween(Window.unboundedPreceding, 0)
         sums = marked.select("*", F.sum("s").over(w).alias("rs"), F.sum("c").over(w).alias("rc"))
     joined = sums.join(F.broadcast(totals), ["tree", "node"])
     left_s = F.when(ranked, F.col("rs")).otherwise(F.col("s"))

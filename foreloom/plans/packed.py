@@ -34,6 +34,8 @@ class Packed:
 
 # Values that one task packs and evaluates, as long as there are tasks enough.
 TASK_VALUES = 50_000
+# Values of a task on average, however many there are: about 64 MB of times and values.
+TASK_LIMIT = 4_000_000
 
 
 def measured(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -43,11 +45,11 @@ def measured(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 
 def task_count(df: DataFrame, total: int) -> int:
-    """At least one task per core, at most the shuffle partitions of the session."""
+    """At least one task per core; the shuffle partitions of the session while tasks stay under ``TASK_LIMIT``, then more."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
-    return min(most, max(cores, -(-total // TASK_VALUES)))
+    return max(min(most, max(cores, -(-total // TASK_VALUES))), -(-total // TASK_LIMIT))
 
 
 def pack(
