@@ -32,6 +32,7 @@ STATS = (
     f"use_log boolean, is_active boolean, last_ts timestamp_ntz, state {STATE_TYPE}"
 )
 VERTICES = f"arima_id long, vertex_id int, phi array<double>, theta array<double>, state {STATE_TYPE}"
+LATE = "series_id string, ts timestamp_ntz, value double, version int"
 
 
 @dataclass(frozen=True)
@@ -82,19 +83,49 @@ class Registry:
         base = f"{self.root}/v={version}"
         return Snapshot(*[self.spark.read.parquet(f"{base}/{p}") for p in PARTS])
 
-    def write(self, snapshot: Snapshot, version: int | None = None) -> int:
-        """Store a snapshot; one that is complete already is left as it is."""
+    def write(
+        self, snapshot: Snapshot, version: int | None = None, mark: str | None = None, late: DataFrame | None = None
+    ) -> int:
+        """Store a snapshot; one that is complete already is left as it is.
+
+        ``mark`` names the micro-batch that it holds, ``late`` are rows of that batch that came too late for their
+        states; both become visible with the snapshot.
+        """
         known = self.versions()
         version = (known[-1] + 1 if known else 0) if version is None else version
         if version in known:
             return version
         base = f"{self.root}/v={version}"
-        for part, df in zip(PARTS, (snapshot.models, snapshot.stats, snapshot.vertices)):
-            df.write.mode("overwrite").parquet(f"{base}/{part}")
         fs, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{base}/_DONE"), True).close()
+        path = jvm.org.apache.hadoop.fs.Path
+        fs.delete(path(base), True)  # what a writer that stopped half way left
+        for part, df in zip(PARTS, (snapshot.models, snapshot.stats, snapshot.vertices)):
+            df.write.parquet(f"{base}/{part}")
+        if late is not None:
+            late.write.parquet(f"{base}/late")
+        if mark is not None:
+            fs.create(path(f"{base}/_BATCH-{mark}"), True).close()
+        fs.create(path(f"{base}/_DONE"), True).close()
         return version
 
+    def holds(self, mark: str) -> bool:
+        """Whether a complete snapshot holds the micro-batch of this name."""
+        fs, jvm = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        found = fs.globStatus(path(f"{self.root}/v=*/_BATCH-{mark}")) or []
+        return any(fs.exists(path(s.getPath().getParent(), "_DONE")) for s in found)
+
+    def late(self) -> DataFrame:
+        """series_id, ts, value and version: the rows that streams set aside as late."""
+        fs, jvm = self._fs()
+        out = self.spark.createDataFrame([], LATE)
+        for version in self.versions():
+            folder = f"{self.root}/v={version}/late"
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(folder)):
+                rows = self.spark.read.parquet(folder).withColumn("version", F.lit(version))
+                out = out.unionByName(rows)
+        return out
+
     # -- life cycle -----------------------------------------------------------
 
     def create_forecast(

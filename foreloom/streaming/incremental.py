@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,25 +61,28 @@ def breached(states: DataFrame, policy: str, margin: float = 0.0) -> DataFrame:
 def process_batch(
     batch: DataFrame,
     registry: Registry,
-    version: int,
+    version: int | None,
     history: Callable[[], DataFrame],
     model_type: str,
     table: str,
     date_column: str,
     value_column: str,
     policy: str = "geometric",
+    mark: str | None = None,
 ) -> Snapshot:
     """Fold one micro-batch into the newest snapshot and store the next one.
 
     ``history`` returns series_id, ts, value with the batch included; it is read
-    for breached series only.
+    for breached series, and for series without a model, which get their first
+    one whatever the policy.  Rows too late for a state are kept beside the
+    snapshot (``Registry.late``).  ``mark`` names the batch in the snapshot.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
     old = registry.read()
     mine = Registry._key(model_type, table, date_column, value_column)
     active = cut(old.active().where(mine))
-    fresh, _ = split_late(batch, active)
+    fresh, late = split_late(batch, active)
     states = cut(advance_states(fresh, active, old.vertices))
     stale = cut(breached(states, policy, MARGINS[model_type]))
 
@@ -100,11 +104,12 @@ def process_batch(
         *[F.coalesce("new_state", "state").alias("state") if c == "state" else c for c in old.vertices.columns]
     )
     new = Snapshot(old.models, stats, vertices)
-    if not stale.isEmpty():
-        rows = attach(history(), stale.select("series_id"), ["series_id"])
+    unseen = batch.select("series_id").distinct().join(active.select("series_id"), "series_id", "left_anti")
+    wanted = cut(stale.select("series_id").unionByName(unseen))
+    if not wanted.isEmpty():
+        rows = attach(history().dropDuplicates(["series_id", "ts"]), wanted, ["series_id"])
         new = merge(new, *train(rows, model_type, table, date_column, value_column))
-    registry.write(new, version)
-    return registry.read(version)
+    return registry.read(registry.write(new, version, mark, late.select("series_id", "ts", "value")))
 
 
 def on_insert(
@@ -124,10 +129,10 @@ def on_insert(
 ):
     """Stream of appended files that keeps the registered models up to date.
 
-    The snapshot number of a batch follows from the batch id, so a batch that is
-    run again after a failure writes the same snapshot or finds it complete.
+    A snapshot carries the ids of the stream and of its batch, so a batch that is
+    run again after a failure finds its snapshot, whoever else wrote to the
+    registry in between.
     """
-    first = (registry.versions() or [0])[-1] + 1
 
     def rows_of(df: DataFrame) -> DataFrame:
         return df.select(
@@ -136,11 +141,11 @@ def on_insert(
             F.col(value_column).cast("double").alias("value"),
         )
 
-    base = _start_version(spark, checkpoint, first)
+    stream_id = _stream_id(spark, checkpoint)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        version = base + batch_id
-        if version in registry.versions():
+        mark = f"{stream_id}-{batch_id}"
+        if registry.holds(mark):
             return
 
         def history() -> DataFrame:
@@ -150,7 +155,9 @@ def on_insert(
             current = seen.join(limit, "series_id").where(F.col("ts") <= F.col("upto")).drop("upto")
             return current if seed is None else rows_of(seed).unionByName(current)
 
-        process_batch(rows_of(batch), registry, version, history, model_type, table, date_column, value_column, policy)
+        process_batch(
+            rows_of(batch), registry, None, history, model_type, table, date_column, value_column, policy, mark
+        )
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return (
@@ -161,14 +168,15 @@ def on_insert(
     )
 
 
-def _start_version(spark: SparkSession, checkpoint: str, first: int) -> int:
-    """Snapshot number of batch 0, remembered beside the checkpoint of the stream."""
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name for the stream, remembered beside its checkpoint."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/first-version")
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/stream-id")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
-        return int(spark.read.text(f"{checkpoint}/first-version").first()[0])
+        return spark.read.text(f"{checkpoint}/stream-id").first()[0]
+    name = uuid.uuid4().hex
     out = fs.create(path, True)
-    out.write(bytearray(str(first).encode()))
+    out.write(bytearray(name.encode()))
     out.close()
-    return first
+    return name
