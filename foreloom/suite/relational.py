@@ -584,7 +584,9 @@ def _(t):
     """SELECT CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS day,
               ROUND(SUM(CASE WHEN event_type = 'click' THEN value END), 2) AS click,
               ROUND(SUM(CASE WHEN event_type = 'error' THEN value END), 2) AS error,
-              ROUND(SUM(CASE WHEN event_type = 'purchase' THEN value END), 2) AS purchase
+              ROUND(SUM(CASE WHEN event_type = 'purchase' THEN value END), 2) AS purchase,
+              ROUND(SUM(CASE WHEN event_type = 'signup' THEN value END), 2) AS signup,
+              ROUND(SUM(CASE WHEN event_type = 'view' THEN value END), 2) AS "view"
        FROM events GROUP BY 1""",
 )
 def _(t):
@@ -592,6 +594,6 @@ def _(t):
 
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
     daily = t.events.select(day, "event_type", "value")
-    names = ["click", "error", "purchase"]
+    names = ["click", "error", "purchase", "signup", "view"]
     out = pivot_series(daily, "day", "event_type", "value", names, agg=F.sum)
     return out.select("day", *[F.round(n, 2).alias(n) for n in names])

@@ -142,27 +142,31 @@ def _(t):
     return out.select("event_id", *names)
 
 
-@query(
-    "supervised_lag_matrix",
-    """WITH wide AS (SELECT DATE_TRUNC('hour', ts) AS ts, SUM(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS click,
-                            SUM(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS error,
-                            SUM(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS "view" FROM events GROUP BY 1),
-            l AS (SELECT ts, click, error, LAG(click, 1) OVER o AS a, LAG(click, 2) OVER o AS b, LAG(error, 1) OVER o AS c
-                  FROM wide WINDOW o AS (ORDER BY ts))
-       SELECT ROUND(click, 2) AS click, ROUND(error, 2) AS error, ROUND(a, 2) AS click_lag_1, ROUND(b, 2) AS click_lag_2,
-              ROUND(c, 2) AS error_lag_1 FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""",
-)
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _supervised_sql() -> str:
+    sums = ", ".join(f"SUM(CASE WHEN event_type = '{n}' THEN value ELSE 0 END) AS \"{n}\"" for n in EVENT_TYPES)
+    lags = [(n, j) for n in EVENT_TYPES for j in (1, 2)]
+    looked = ", ".join(f'LAG("{n}", {j}) OVER o AS {n}_lag_{j}' for n, j in lags)
+    out = [f'"{n}"' for n in EVENT_TYPES] + [f"{n}_lag_{j}" for n, j in lags]
+    return f"""WITH wide AS (SELECT DATE_TRUNC('hour', ts) AS ts, {sums} FROM events GROUP BY 1),
+                    l AS (SELECT *, {looked} FROM wide WINDOW o AS (ORDER BY ts))
+               SELECT {", ".join(f"ROUND({c}, 2) AS {c}" for c in out)} FROM l
+               WHERE {" AND ".join(f"{n}_lag_{j} IS NOT NULL" for n, j in lags)}"""
+
+
+@query("supervised_lag_matrix", _supervised_sql())
 def _(t):
-    """Three series, two lags, three features: two targets remain."""
-    out, features, targets = T.supervised(hourly(t), [], "ts", ["click", "error", "view"], 2, 3)
+    """All series with two lags each as features."""
+    out, features, targets = T.supervised(hourly(t), [], "ts", EVENT_TYPES, 2, 2 * len(EVENT_TYPES))
     return out.select(*[F.round(c, 2).alias(c) for c in targets + features])
 
 
 def hourly(t):
     """Wide multivariate series: hourly sums per event type."""
     hour = t.events.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
-    names = ["click", "error", "view"]
-    return T.pivot_series(hour, "ts", "event_type", "value", names, agg=F.sum).na.fill(0.0, names)
+    return T.pivot_series(hour, "ts", "event_type", "value", EVENT_TYPES, agg=F.sum).na.fill(0.0, EVENT_TYPES)
 
 
 @query(

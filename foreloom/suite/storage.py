@@ -26,16 +26,47 @@ def _(t):
     return S.read_csv_relation(t.spark, path, schema, "foreloom_customer")
 
 
-@query("bulk_load_star", "SELECT s_suppkey AS store_nbr, s_name AS city, CAST(s_nationkey AS VARCHAR) AS state, 'x' AS stype, 1 AS cluster, CAST(NULL AS INTEGER) AS f4 FROM supplier")
+# The six star files from the tables: columns of the file, each as SQL that both engines read, and the table.
+_STAR = {
+    "holidays": (["CAST(ts AS DATE)", "event_type", "'day'", "CAST(user_id AS VARCHAR(20))", "'none'", "event_id % 2 = 0"], "events"),
+    "items": (["CAST(p_partkey AS INT)", "p_type", "p_brand", "p_size"], "part"),
+    "oil": (["CAST(o_orderdate AS DATE)", "CAST(CAST(o_custkey AS DECIMAL(12, 0)) AS DECIMAL(18, 6))"], "orders"),
+    "stores": (["CAST(s_suppkey AS INT)", "s_name", "CAST(s_nationkey AS VARCHAR(20))", "'x'", "1"], "supplier"),
+    "trans": (["CAST(o_orderdate AS DATE)", "CAST(o_custkey AS INT)", "CAST(o_orderkey AS INT)"], "orders"),
+    "sales": (
+        ["CAST(l_orderkey AS INT)", "CAST(l_shipdate AS DATE)", "CAST(l_suppkey AS INT)", "CAST(l_partkey AS INT)",
+         "CAST(CAST(l_quantity AS DECIMAL(12, 0)) AS DECIMAL(18, 6))", "l_returnflag = 'R'"],
+        "lineitem",
+    ),
+}
+
+
+def _star_sql() -> str:
+    """One text per row of each file, with the empty extra column at its end."""
+    def line(columns):
+        return " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in columns) + " || '|none'"
+
+    parts = [f"SELECT '{n}' AS relation, {line(columns)} AS line FROM {table}" for n, (columns, table) in _STAR.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("bulk_load_star", _star_sql())
 def _(t):
     folder = scratch(t, "star")
-    stores = t.supplier.select(
-        F.col("s_suppkey").alias("store_nbr"), F.col("s_name").alias("city"), F.col("s_nationkey").alias("state"),
-        F.lit("x").alias("stype"), F.lit(1).alias("cluster"),
+    for name, (columns, table) in _STAR.items():
+        fields = [f.split()[0] for f in S.STAR_SCHEMAS[name].split(", ")]
+        rows = getattr(t, table).selectExpr(*[f"{c} AS {f}" for c, f in zip(columns, fields)])
+        rows.write.option("header", True).csv(f"{folder}/{name}.csv")
+    loaded = S.bulk_load_star(t.spark, folder, f"{folder}/parquet")
+    return R.concat(
+        [
+            df.select(
+                F.lit(name).alias("relation"),
+                F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in df.columns]).alias("line"),
+            )
+            for name, df in loaded.items()
+        ]
     )
-    stores.write.option("header", True).csv(f"{folder}/stores.csv")
-    out = S.bulk_load_star(t.spark, folder, f"{folder}/parquet", ["stores"])["stores"]
-    return out.withColumn("store_nbr", F.col("store_nbr").cast("bigint"))
 
 
 @query("read_long_csv", f"WITH {DAILY} SELECT CAST(i AS INTEGER) AS date, ROUND(y, 6) AS data, k AS cols FROM u")

@@ -11,6 +11,7 @@ from foreloom.operators import css as C
 from foreloom.operators import fit as Fit
 from foreloom.operators import forecast as Fc
 from foreloom.operators import kernel as K
+from foreloom.operators import relational as R
 from foreloom.operators import simplex as X
 from foreloom.operators import stats as St
 from foreloom.plans.packed import pack
@@ -237,6 +238,27 @@ def test_life_cycle_and_outlier(spark, basic, tmp_path):
     after = snap.active().first()
     assert after["arima_id"] != before and after["last_ts"] == dt.datetime(2023, 1, 8)
     assert snap.stats.where("is_active").count() == 1 and snap.stats.count() == 2
-    # the same batch again finds its snapshot
+    # the row that came too late is set aside, the same batch again finds its snapshot
+    assert [(r["value"], r["version"]) for r in registry.late().collect()] == [(1.0, version)]
     assert registry.write(snap, version) == version
+    # a batch is known by its name, not by the number that another writer may have taken
+    registry.write(snap, None, "stream-0")
+    assert registry.holds("stream-0") and not registry.holds("stream-1")
+    unseen = rows.withColumn("series_id", F.lit("Unseen"))
+    snap = I.process_batch(unseen, registry, None, lambda: rows.unionByName(unseen), *key, "fixed", "stream-1")
+    assert {r["series_id"] for r in snap.active().collect()} == {"TestSeries", "Unseen"}
+    assert registry.holds("stream-1")
     assert registry.remove_forecast(*key) and not registry.remove_forecast(*key)
+
+
+def test_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "COPIES", 3)
+    df = spark.createDataFrame([("a",)] * 8 + [("b",)] * 2 + [(None,)], "k string")
+    got = sorted((r["k"] or "", r["nth"]) for r in R.cumcount(df).collect())
+    assert got == [("", 1)] + [("a", i) for i in range(1, 9)] + [("b", 1), ("b", 2)]
+
+
+def test_highest_score_with_ties_and_gaps(spark):
+    rows = [("a", 1.0, 2), ("a", 3.0, 5), ("a", 3.0, 4), ("a", None, 0), ("b", None, 1), ("c", float("nan"), 1), ("c", 9.0, 0)]
+    got = R.argmax_per_group(spark.createDataFrame(rows, "k string, score double, t int"), ["k"], "score", ["t"])
+    assert sorted((r["k"], r["t"]) for r in got.collect()) == [("a", 4), ("c", 1)]
