@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreloom.llm.common import WordHashes, discard, mixed, park, raw, slices, small
-from foreloom.llm.components import components
+from foreloom.llm.components import components, joined
 from foreloom.llm.prefix import numbered
 
 
@@ -304,17 +304,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     tried = park(_estimate(star, classes, p), "pairs")
-    links = _verified(tried, texts, p)
-    roots = park(components(links), "roots")
+    roots = park(components(_verified(tried, texts, p)), "roots")
     for most in (1, None):
         of = F.coalesce(F.col("component"), F.col("rep")).alias("component")
         placed = park(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", of), "placed")
         more = park(_across(placed, classes, p, most).join(tried, ["a", "b"], "left_anti"), "across")
         if more.isEmpty():
             break
-        links = park(links.unionAll(_verified(more, texts, p)), "links")
+        roots = park(joined(roots, _verified(more, texts, p)), "roots")
         tried = tried.unionAll(more)
-        roots = park(components(links), "roots")
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("root"))
     named = park(named, "named")
     first = sk.select(F.col("row").alias("_first"), F.col("doc_id").alias("component"))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foreloom.llm import decontamination, exact_dedup, language, line_dedup, mixing, near_dedup, quality, queries, secrets, token_counts, toxicity
-from foreloom.llm.components import components
+from foreloom.llm.common import park
+from foreloom.llm.components import components, joined
 from foreloom.llm.prefix import numbered, prefixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string"
@@ -94,6 +95,28 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_components_after_more_links(spark):
+    pairs = lambda *rows: spark.createDataFrame(rows, "a long, b long")
+    roots = park(components(pairs((1, 2), (2, 3), (10, 11), (20, 21))), "roots")
+    got = dict(map(tuple, joined(roots, pairs((3, 11), (30, 31), (21, 40), (31, 40))).collect()))
+    assert got == {**dict.fromkeys((1, 2, 3, 10, 11), 1), **dict.fromkeys((20, 21, 30, 31, 40), 20)}
+    assert dict(map(tuple, components(pairs()).collect())) == {}
+    assert dict(map(tuple, joined(roots, pairs()).collect())) == dict(map(tuple, roots.collect()))
+
+
+def test_components_of_random_links(spark):
+    import random
+
+    draw = random.Random(4)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)]
+    best = {n: n for pair in links if pair[0] != pair[1] for n in pair}
+    for _ in range(300):
+        for a, b in links:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    assert dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())) == best
+
+
 def test_ranks_and_sums(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("g"))
     got = {r.id: (r["rank"], r.before_id) for r in prefixes(df, ["g"], [F.col("id").desc()], ("id",)).collect()}
