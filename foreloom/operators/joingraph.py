@@ -233,13 +233,17 @@ class JoinGraph:
         """Depth-first join of the graph; column ``relation__attribute`` for every kept attribute.
 
         ``columns`` limits the attributes per relation; join keys are added and
-        relations that nothing is read from are left out.
+        relations that nothing is read from are left out, unless an inner join has predicates on them.
         """
         root = self.target_relation or next(iter(self.relations))
         needed = set(self.relations) if columns is None else {root}
         for name in columns or {}:
             if columns[name]:
                 needed |= {name, *([] if name == root else self.path(name))}
+        if how == "inner":  # predicates limit the join, whether or not something is read from their relation
+            for name, r in self.relations.items():
+                if r.predicates and name != root:
+                    needed |= {name, *self.path(name)}
         out = None
         for parent, name in self.walk(root):
             if name not in needed:

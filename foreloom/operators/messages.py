@@ -18,12 +18,28 @@ from foreloom.plans.joins import null_safe_join
 IDENTITY, SELECTION, FULL = "IDENTITY", "SELECTION", "FULL"
 
 
+def filtered(graph: JoinGraph, name: str, parent: str | None = None) -> bool:
+    """Whether a relation, or one behind it, has predicates."""
+    return bool(graph.relations[name].predicates) or any(filtered(graph, n, name) for n in graph.neighbours(name, parent))
+
+
+def surviving(graph: JoinGraph, name: str, parent: str | None = None) -> DataFrame:
+    """Rows of a relation under its own predicates and, by semi-joins, under those of the relations behind it."""
+    rows = graph.relations[name].rows()
+    for child in graph.neighbours(name, parent):
+        if filtered(graph, child, name):
+            here, there = graph.edges[name][child]
+            sent = selection_message(surviving(graph, child, name), there, here)
+            rows = null_safe_join(rows, sent, here, "left_semi")
+    return rows
+
+
 def lift(graph: JoinGraph, target: Column | None = None, extra: Sequence[Column] = ()) -> DataFrame:
-    """Fact rows as (s, c) with the useful columns only, under the fact's predicates."""
+    """Fact rows as (s, c) with the useful columns only, under the predicates of all relations."""
     relation = graph.relations[graph.target_relation]
     value = (F.col(graph.target) if target is None else target).cast("double")
     useful = [F.col(c) for c in graph.useful(relation.name)]
-    return relation.rows().select(*useful, *extra, value.alias("s"), F.lit(1).cast("long").alias("c"))
+    return surviving(graph, relation.name).select(*useful, *extra, value.alias("s"), F.lit(1).cast("long").alias("c"))
 
 
 def semiring_sum(facts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

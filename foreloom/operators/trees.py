@@ -343,6 +343,7 @@ class DecisionTree(DummyModel):
         }
         bound = group_rows(spark)
         self._long = False
+        self._has_sets = any(kind == LCAT for r in work.relations.values() for kind in r.features.values())
         for n, r in work.relations.items():
             ordered = [f for f, kind in r.features.items() if kind != CAT]
             if not ordered or self._small.get(n):
@@ -384,8 +385,9 @@ class DecisionTree(DummyModel):
                 wanted = F.broadcast(totals.select("tree", "node"))
                 current = facts.join(wanted, ["tree", "node"], "left_semi")
             values = self._values(work, current)
-            # the running sums over slices read the values several times
-            values = cut(values) if self._long else values
+            # the running sums over slices read the values several times, and the left sets must be cut from the
+            # very sums that chose the split: sums of doubles differ in the last bit from run to run
+            values = cut(values) if self._long or self._has_sets else values
             best = P.best_splits(P.scored_splits(values, totals, self._long)).collect()
             sets = self._sets(values, best)
             found = {t: [] for t in frontier}

@@ -171,6 +171,18 @@ def _(t):
     return M.lift(star(t), F.col("l_extendedprice") - 50000.0)
 
 
+@query(
+    "annotated_totals",
+    f"""SELECT n_nationkey, ROUND(SUM(l_extendedprice), 2) AS s, COUNT(*) AS c FROM {JOINED}
+        WHERE p_size > 25 AND n_regionkey <> 2 GROUP BY 1""",
+)
+def _(t):
+    """Totals per nation under predicates on two dimensions, one of them behind two others."""
+    g = star(t).annotate("part", F.col("p_size") > 25).annotate("nation", F.col("n_regionkey") != 2)
+    rows = M.calibrate(g, M.lift(g))["nation"]
+    return M.absorption(rows, ["n_nationkey"]).select("n_nationkey", F.round("s", 2).alias("s"), "c")
+
+
 @query("agg_semiring_sum", "SELECT ROUND(SUM(l_extendedprice), 2) AS s, COUNT(*) AS c FROM lineitem")
 def _(t):
     return M.semiring_sum(M.lift(star(t))).select(F.round("s", 2).alias("s"), "c")

@@ -34,6 +34,18 @@ def joined(spark, folder):
     return full.select(*[F.col(found[n]).alias(n) for n in names]).toPandas()
 
 
+def test_predicates_on_dimensions_limit_training(spark, folder, joined):
+    g = graph(spark, folder).annotate("part", F.col("p_size") > 25).annotate("customer", F.col("c_acctbal") > 0)
+    kept = joined[(joined.p_size > 25) & (joined.c_acctbal > 0)]
+    model = DecisionTree(num_leaves=2, max_depth=1, learning_rate=1.0).fit(g)
+    y = kept.l_extendedprice.to_numpy()
+    assert model.count == len(kept) < len(joined) and model.constant == pytest.approx(y.mean())
+    _, feature, value = best_split(kept, y - y.mean())
+    split = model.trees[0].nodes[1].split
+    assert (split.feature, split.value) == (feature, value)
+    assert model.predict(g).count() == len(kept)
+
+
 def best_split(x, y):
     best = (0.0, None, None)
     base = y.sum() ** 2 / len(y)
