@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         placed = park(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", of), "placed")
         more = park(_across(placed, classes, p, most).join(tried, ["a", "b"], "left_anti"), "across")
         if more.isEmpty():
-            break
+            continue  # best partners that were all tried say nothing of the others
         roots = park(joined(roots, _verified(more, texts, p)), "roots")
         tried = tried.unionAll(more)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("root"))

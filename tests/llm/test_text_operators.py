@@ -5,11 +5,12 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foreloom.llm import decontamination, exact_dedup, language, line_dedup, mixing, near_dedup, quality, queries, secrets, token_counts, toxicity
-from foreloom.llm.common import park
+from foreloom.llm.common import WordHashes, park
 from foreloom.llm.components import components, joined
 from foreloom.llm.prefix import numbered, prefixes
 
@@ -89,6 +90,18 @@ def test_near_copies_against_all_pairs(docs, empty):
     assert near_dedup.near_duplicates(numbered(empty)).count() == 0
 
 
+def test_link_behind_a_first_member_that_is_nearer(spark):
+    """Both ends of a link look nearer to the first member of their buckets, which full sets rule out."""
+    core = " ".join(f"c118x{i}" for i in range(83))
+    rows = [(k, " ".join([core, *(f"{name}118x{i}" for i in range(n))])) for k, (name, n) in enumerate((("f", 11), ("a", 10), ("b", 10)))]
+    held = [near_dedup.shingles(t.encode(), 4, WordHashes()) for _, t in rows]
+    regs, n = near_dedup.Registers(near_dedup.Sketch()).of(held), np.array([float(len(h)) for h in held])
+    value = lambda i, j: near_dedup.likely(regs[i : i + 1], regs[j : j + 1], n[i : i + 1], n[j : j + 1], near_dedup.Sketch().base)[0]
+    assert min(value(0, 1), value(0, 2)) > value(1, 2)
+    out = near_dedup.near_duplicates(numbered(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.component for r in out} == {0: 0, 1: 1, 2: 1}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, components(links).collect()))
