@@ -39,7 +39,7 @@ from foreloom.session import cut
 GRADIENT_METHODS = ("L-BFGS", "SLSQP", "MMA")
 SIMPLEX_METHODS = ("Nelder-Mead", "Subplex")
 
-FIT_FIELDS = "phi array<double>, theta array<double>, c double, residuals array<double>, css double"
+FIT_FIELDS = "phi array<double>, theta array<double>, c double, residuals array<double>, css double, converged boolean"
 FIT_NAMES = [f.split()[0] for f in FIT_FIELDS.split(", ")]
 
 
@@ -49,7 +49,8 @@ def fit_candidates(
     """Fit every (series, candidate): keys, ids, p, d, q, constant and the fit result.
 
     ``candidates`` has keys, ids, p, d, q and constant.  A candidate that cannot
-    be fitted has an infinite loss, or raises when ``silent`` is off.
+    be fitted has an infinite loss, or raises when ``silent`` is off.  ``converged``
+    is false where the limit of rounds or evaluations ended the search, not its rule.
     """
     if method not in (*GRADIENT_METHODS, *SIMPLEX_METHODS):
         raise ValueError(f"Invalid optimiser provided: {method}")
@@ -77,7 +78,7 @@ def fit_candidates(
                 batch = K.Batch(chunks, p, q)
                 mean = np.array([i[2].mean() if len(i[2]) else 0.0 for i in items])
                 search = K.fit_gauss_newton if method in GRADIENT_METHODS else K.fit_nelder_mead
-                x, css = search(batch, mean, const)
+                x, css, ended = search(batch, mean, const)
                 c = x[:, -1] if const else np.zeros(len(items))
                 last = batch.newest(batch.residuals(x[:, :p], x[:, p : p + q], c), np.zeros((len(items), q)))
                 counted = batch.counts.sum(axis=1)
@@ -86,9 +87,9 @@ def fit_candidates(
                     if not ok and not silent:
                         raise ValueError(f"failed to fit ARMA({p}, {q}): no finite loss")
                     result = (
-                        (x[i, :p].tolist(), x[i, p : p + q].tolist(), float(c[i]), last[i].tolist(), float(css[i]))
+                        (x[i, :p].tolist(), x[i, p : p + q].tolist(), float(c[i]), last[i].tolist(), float(css[i]), bool(ended[i]))
                         if ok
-                        else ([], [], 0.0, [], float("inf"))
+                        else ([], [], 0.0, [], float("inf"), False)
                     )
                     rows.append(
                         (*[getattr(item[0], k) for k in keys], *[item[1][f] for f in fields], *result)
@@ -190,13 +191,14 @@ def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], roun
             F.slice("x", F.col("p") + 1, F.col("q")).alias("theta"),
             F.when(F.col("constant"), F.element_at("x", -1)).otherwise(0.0).alias("c"),
             "css",
+            F.col("done").alias("converged"),
             F.concat_ws("/", "p", "q", "constant").alias("candidate"),
         )
     )
     states = fold_states(packed, models, [*ids, "candidate"])
     out = cut(
         models.join(states, [*keys, *ids, "candidate"]).select(
-            *every, "phi", "theta", "c", F.col("state.e_lags").alias("residuals"), "css"
+            *every, "phi", "theta", "c", F.col("state.e_lags").alias("residuals"), "css", "converged"
         )
     )
     packed.frame.unpersist()

@@ -161,7 +161,7 @@ def forecast_from_state(
 
 
 def risky(fits: DataFrame) -> DataFrame:
-    """Add ``warning``: which coefficients lie outside (-1, 1)."""
+    """Add ``warning``: which coefficients lie outside (-1, 1), and whether the search was cut off."""
 
     def outside(name):
         return F.exists(name, lambda x: (x <= -1.0) | (x >= 1.0))
@@ -170,6 +170,7 @@ def risky(fits: DataFrame) -> DataFrame:
         ", ",
         F.when(outside("phi"), F.lit("AR coefficients outside (-1, 1)")),
         F.when(outside("theta"), F.lit("MA coefficients outside (-1, 1)")),
+        F.when(~F.col("converged"), F.lit("search not converged")) if "converged" in fits.columns else F.lit(None).cast("string"),
     )
     return fits.withColumn("warning", F.nullif(text, F.lit("")))
 

@@ -228,7 +228,7 @@ def settle(x, f, trial, f_trial, damping):
 
 
 def fit_gauss_newton(batch: Batch, mean: np.ndarray, constant: bool):
-    """Minimise the loss of every series of a batch from the fixed start."""
+    """Minimise the loss of every series of a batch from the fixed start: parameters, losses, and which searches ended by their rule."""
     x, low, high = bounds(mean, batch.p, batch.q, constant)
     f, grad, gram, _, _ = batch.sums(x, constant)
     damping = np.full(batch.rows, 1e-3)
@@ -243,14 +243,14 @@ def fit_gauss_newton(batch: Batch, mean: np.ndarray, constant: bool):
         won = live[better]
         x[won], f[won], grad[won], gram[won] = trial[better], ft[better], gt[better], mt[better]
         live = live[~finished]
-    return x, f
+    return x, f, ~np.isin(np.arange(batch.rows), live)
 
 
 def fit_nelder_mead(batch: Batch, mean: np.ndarray, constant: bool, max_evaluations: int = 4000):
-    """Derivative-free search, one series after the other."""
+    """Derivative-free search, one series after the other; returns as ``fit_gauss_newton`` does."""
     x, low, high = bounds(mean, batch.p, batch.q, constant)
     p, q = batch.p, batch.q
-    best = np.empty(batch.rows)
+    best, ended = np.empty(batch.rows), np.zeros(batch.rows, dtype=bool)
     for i in range(batch.rows):
         one = batch.take(np.array([i]))
 
@@ -261,15 +261,15 @@ def fit_nelder_mead(batch: Batch, mean: np.ndarray, constant: bool, max_evaluati
                 s = float(np.sum(e * e))
             return s if np.isfinite(s) else np.inf
 
-        x[i], best[i] = _simplex_search(loss, x[i], low[i], high[i], max_evaluations)
-    return x, best
+        x[i], best[i], ended[i] = _simplex_search(loss, x[i], low[i], high[i], max_evaluations)
+    return x, best, ended
 
 
 def _simplex_search(loss, start, low, high, max_evaluations):
     """Nelder-Mead with clipping to the bounds."""
     k = len(start)
     if k == 0:
-        return start, loss(start)
+        return start, loss(start), True
     corners = [start]
     for j in range(k):
         v = start.copy()
@@ -278,12 +278,13 @@ def _simplex_search(loss, start, low, high, max_evaluations):
         corners.append(v)
     points = np.array(corners)
     values = np.array([loss(v) for v in points])
-    used = k + 1
+    used, ended = k + 1, False
     while used < max_evaluations:
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
         spread = np.abs(points[1:] - points[0]).max(axis=0)
         if np.all(spread <= XTOL_REL * np.maximum(np.abs(points[0]), 1e-9)):
+            ended = True
             break
         middle = points[:-1].mean(axis=0)
         away = middle - points[-1]
@@ -309,4 +310,4 @@ def _simplex_search(loss, start, low, high, max_evaluations):
                 values[1:] = [loss(v) for v in points[1:]]
                 used += k
     at = int(np.argmin(values))
-    return points[at], float(values[at])
+    return points[at], float(values[at]), ended

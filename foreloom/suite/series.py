@@ -566,7 +566,7 @@ def _(t):
 def _fit_columns(df):
     return df.select(
         "k", "p", "d", "q", F.concat_ws(",", F.transform("phi", lambda x: F.round(x, 4).cast("string"))).alias("phi"),
-        F.concat_ws(",", F.transform("theta", lambda x: F.round(x, 4).cast("string"))).alias("theta"), "c", "css",
+        F.concat_ws(",", F.transform("theta", lambda x: F.round(x, 4).cast("string"))).alias("theta"), "c", "css", "converged",
     )
 
 

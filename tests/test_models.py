@@ -66,6 +66,15 @@ def test_fits_reach_the_recorded_losses(basic, order, constant, bound, method):
     assert got["css"] <= bound
 
 
+def test_cut_off_search_is_marked(spark, folder, basic):
+    users = spark.read.parquet(f"{folder}/events.parquet").where("user_id = 1").selectExpr("user_id AS k", "ts", "value")
+    cut_off = Fit.arima_fit(users, ["k"], (1, 0, 1)).first()
+    assert cut_off["converged"] is False or cut_off["css"] < 52_100
+    assert Fit.arima_fit(basic, ["k"], (0, 0, 0)).first()["converged"] is True
+    warned = Fc.arima_train_and_forecast(users, ["k"], (1, 0, 1), 2).first()
+    assert cut_off["converged"] or "search not converged" in warned["warning"]
+
+
 def test_unknown_method_and_order(basic):
     with pytest.raises(ValueError):
         Fit.arima_fit(basic, ["k"], (1, 0, 0), method="Newton")
