@@ -56,8 +56,15 @@ def fit_candidates(
         raise ValueError(f"Invalid optimiser provided: {method}")
     ids = list(ids)
     wanted = candidates.select(*packed.keys, *ids, "p", "d", "q", "constant")
+    if packed.long and packed.keys:
+        # by length: one long series must not change how the others are fitted
+        one = F.col("n_total") == F.size("vals")
+        brief, rest = packed.frame.where(one), packed.frame.where(~one)
+        of_rest = wanted.join(rest.where("chunk = 0").select(*packed.keys), packed.keys, "left_semi")
+        short = fit_candidates(Packed(brief, packed.keys, False), wanted, ids, method, silent)
+        return short.unionByName(_fit_long(Packed(rest, packed.keys, True), of_rest, ids, method, silent).select(*short.columns))
     if packed.long:
-        return _fit_over_chunks(packed, wanted, ids)
+        return _fit_long(packed, wanted, ids, method, silent)
     keys, fields = packed.keys, [*ids, "p", "d", "q", "constant"]
     names = [*keys, *fields, *FIT_NAMES]
 
@@ -105,12 +112,35 @@ def fit_candidates(
     return frame.select(*keys, "vals", "models").mapInPandas(run, schema)
 
 
+def _fit_long(packed: Packed, candidates: DataFrame, ids: list[str], method: str, silent: bool) -> DataFrame:
+    """Fits of series of many chunks, failed ones recorded as those of short series are.
+
+    There is no derivative-free search over chunks: asked for one, every fit is a failed one.
+    """
+    if method in GRADIENT_METHODS:
+        fits = _fit_over_chunks(packed, candidates, ids)
+        good = F.col("css").isNotNull() & ~F.isnan("css") & (F.col("css") < float("inf"))
+    else:
+        nothing = F.array().cast("array<double>")
+        fits = candidates.select(
+            "*", nothing.alias("phi"), nothing.alias("theta"), F.lit(0.0).alias("c"), nothing.alias("residuals"),
+            F.lit(float("inf")).alias("css"), F.lit(False).alias("converged"),
+        )
+        good = F.lit(False)
+    if not silent and not fits.where(~good).isEmpty():
+        why = "no finite loss" if method in GRADIENT_METHODS else f"no {method} search over series longer than packRows"
+        raise ValueError(f"failed to fit: {why}")
+    none = {"c": F.lit(0.0), "css": F.lit(float("inf")), "converged": F.lit(False)}
+    none = {n: none.get(n, F.array().cast("array<double>")) for n in FIT_NAMES}
+    return fits.select(*[c for c in fits.columns if c not in none], *[F.when(good, F.col(n)).otherwise(v).alias(n) for n, v in none.items()])
+
+
 def _fit_order(item):
     m = item[1]
     return int(m["p"]), int(m["q"]), bool(m["constant"]), K.length_class(len(item[2]))
 
 
-def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], rounds: int = 60) -> DataFrame:
+def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], rounds: int = K.MAX_ROUNDS) -> DataFrame:
     """Gauss-Newton over series of many chunks: one distributed evaluation per round.
 
     The state of the search (a few numbers per series and candidate) is a

@@ -183,6 +183,30 @@ def test_fit_over_chunks_equals_fit_in_one_piece(spark):
     assert parts["residuals"] == pytest.approx(whole["residuals"], abs=1e-3)
 
 
+def test_one_long_series_leaves_the_others_as_they_were(spark, folder):
+    brief = spark.read.parquet(f"{folder}/events.parquet").where("user_id = 1").selectExpr("'short' AS k", "CAST(ts AS timestamp_ntz) AS ts", "value")
+    long = generate_series_table(spark, 400, "ar1_like").selectExpr("'long' AS k", "CAST(ts AS timestamp_ntz) AS ts", "value")
+    want = {m: Fit.arima_fit(brief, ["k"], (1, 0, 1), method=m).first() for m in ("L-BFGS", "Nelder-Mead")}
+    spark.conf.set("spark.foreloom.packRows", "60")
+    try:
+        both = brief.unionByName(long)
+        packed = pack(both, ["k"])
+        got = {
+            m: {r["k"]: r for r in Fit.fit_candidates(packed, Fit.same_order(packed, (1, 0, 1), True), method=m).collect()} for m in want
+        }
+        with pytest.raises(ValueError, match="Nelder-Mead"):
+            Fit.arima_fit(both, ["k"], (1, 0, 1), method="Nelder-Mead")
+    finally:
+        spark.conf.unset("spark.foreloom.packRows")
+    for m, fit in want.items():
+        assert set(got[m]) == {"short", "long"}
+        assert got[m]["short"]["css"] == pytest.approx(fit["css"], rel=1e-12)
+        assert got[m]["short"]["phi"] == pytest.approx(fit["phi"], rel=1e-12)
+    assert got["L-BFGS"]["long"]["css"] < float("inf")
+    lost = got["Nelder-Mead"]["long"]
+    assert lost["css"] == float("inf") and lost["phi"] == [] and not lost["converged"]
+
+
 def test_fold_of_a_long_line_equals_the_loss(spark):
     """A line of a hundred thousand rows in several chunks."""
     spark.conf.set("spark.foreloom.packRows", "30000")
