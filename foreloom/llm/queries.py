@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import decontamination, exact_dedup, language, line_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from foreloom.llm import decontamination, exact_dedup, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
 from foreloom.llm.prefix import numbered
 from foreloom.session import ship
 
@@ -89,3 +89,9 @@ def _(table):
 def _(table):
     """Every document with the one that stays of its text."""
     return exact_dedup.dedup(table("documents"))
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def _(table):
+    """Every document's proof, and whether it still verifies after the tampering of some."""
+    return merkle.verified(table("documents"))
