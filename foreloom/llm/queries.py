@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import decontamination, exact_dedup, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from foreloom.llm import collocations, decontamination, exact_dedup, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
 from foreloom.llm.prefix import numbered
 from foreloom.session import ship
 
@@ -91,6 +91,12 @@ def _(table):
     return exact_dedup.dedup(table("documents"))
 
 
+@query("op11_collocations", collocations.SQL)
+def _(table):
+    """The strongest phrases of every language."""
+    return collocations.collocations(table("documents"))
+
+
 @query("op13_merkle_manifest", merkle.SQL)
 def _(table):
     """Every document's proof, and whether it still verifies after the tampering of some."""
