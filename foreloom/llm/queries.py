@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foreloom.llm import collocations, decontamination, exact_dedup, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from foreloom.llm import collocations, decontamination, exact_dedup, language, line_dedup, merkle, mixing, near_dedup, quality, secrets, set_join, token_counts, toxicity
 from foreloom.llm.prefix import numbered
 from foreloom.session import ship
 
@@ -97,6 +97,13 @@ def _(table):
     return collocations.collocations(table("documents"))
 
 
+@query("op12_set_join", set_join.SQL)
+def _(table):
+    """Every document with its component of an exact join of shingle sets."""
+    found = set_join.similar(table("documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("op13_merkle_manifest", merkle.SQL)
 def _(table):
     """Every document's proof, and whether it still verifies after the tampering of some."""
