@@ -187,32 +187,43 @@ class Texts:
 
 
 class Sums:
-    """Occurrences added up by key inside a task, handed on when they are many."""
+    """Occurrences added up by key inside a task; handed on when the distinct ones are many."""
 
-    MOST = 2 << 20
+    MOST = 3 << 19
 
-    def __init__(self, n: int):
-        self.n, self.held, self.size = n, [], 0
+    def __init__(self):
+        self.held, self.size = [], 0
 
     def add(self, key, check, row, start, end):
-        self.held.append((key, check, row, start.astype(np.int32), (end - start).astype(np.int32)))
+        """Take occurrences in; yields batches of sums whenever the memory for them is used up."""
+        ones = np.ones(len(key), np.int32)
+        self.held.append((key, ones, check & CHECK, row, start.astype(np.int32), (end - start).astype(np.int32)))
         self.size += len(key)
-        return self.size >= self.MOST
+        if self.size >= self.MOST:
+            self.reduce()
+            if self.size > self.MOST // 2:
+                yield from self.batches()
+
+    def reduce(self):
+        """One entry a key, with the first occurrence as pointer."""
+        key, count, check, row, start, length = (np.concatenate(c) for c in zip(*self.held))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = order[head]
+        count = np.add.reduceat(count[order], head)
+        check = np.add.reduceat(check[order], head) & CHECK
+        self.held = [(key[head], count, check, row[first], start[first], length[first])]
+        self.size = len(head)
 
     def batches(self):
         if not self.size:
             return
-        key, check, row, start, length = (np.concatenate(c) for c in zip(*self.held))
+        self.reduce()
+        key, count, check, row, start, length = self.held[0]
         self.held, self.size = [], 0
-        order = np.argsort(key, kind="stable")  # occurrences come in the order of rows and places
-        key = key[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(head, len(key)))
-        first = order[head]
-        total = np.add.reduceat(check[order], head)
-        total &= CHECK
-        columns = [key[head].view(np.int64), count, total.view(np.int64), row[first], start[first], length[first]]
-        for at in range(0, len(head), 1 << 16):
+        columns = [key.view(np.int64), count.astype(np.int64), check.view(np.int64), row, start, length]
+        for at in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], NAMES)
 
 
@@ -229,7 +240,7 @@ def _counted(rows: DataFrame, n: int, p: Mining, known: list) -> DataFrame:
     """
 
     def run(batches):
-        texts, sums = Texts(p), Sums(n)
+        texts, sums = Texts(p), Sums()
         tables = [np.frombuffer(t.value, np.uint8) for t in known]
         for part in (part for batch in batches for part in slices(batch)):
             for data, places, row, lang, lang2, offset, own in texts.stretches(part):
@@ -258,18 +269,20 @@ def _counted(rows: DataFrame, n: int, p: Mining, known: list) -> DataFrame:
                     key, end = keyed(fp, lang[of[at]], n, p.bits), ends[at + n - 1]
                     check = mixed(check + lang2[of[at]])
                 begin = starts[at] - places[of[at]] + offset[of[at]]
-                if sums.add(key, check, row[of[at]], begin, begin + end - starts[at]):
-                    yield from sums.batches()
+                yield from sums.add(key, check, row[of[at]], begin, begin + end - starts[at])
         yield from sums.batches()
 
     return rows.mapInArrow(run, COUNTED)
 
 
 def _totals(parts: DataFrame) -> DataFrame:
-    """Counts and check sums by fingerprint, with the first occurrence as pointer."""
-    at = F.min(F.struct("row", "start", "length")).alias("at")
-    out = parts.groupBy("fp").agg(F.sum("f").alias("f"), F.sum("check").alias("check"), at)
-    return out.select("fp", "f", "check", "at.*")
+    """Counts and check sums by fingerprint, with one of the occurrences as pointer.
+
+    Tasks hand on sums, so that nothing more is added up before the shuffle.  Any occurrence serves as pointer; the
+    columns of a pointer come from one row, as all of them take the first that arrives.
+    """
+    pointer = [F.first(c).alias(c) for c in ("row", "start", "length")]
+    return parts.repartition("fp").groupBy("fp").agg(F.sum("f").alias("f"), F.sum("check").alias("check"), *pointer)
 
 
 def _in(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
