@@ -37,7 +37,7 @@ class Mining:
     top: int = 2000
     bits: int = 64
     filter_bits: int = 26
-    window: int = 1 << 20
+    window: int = 1 << 19
 
 
 def _inverse(x: int) -> int:
@@ -189,7 +189,7 @@ class Texts:
 class Sums:
     """Occurrences added up by key inside a task; handed on when the distinct ones are many."""
 
-    MOST = 3 << 19
+    MOST = 1 << 20
 
     def __init__(self):
         self.held, self.size = [], 0
