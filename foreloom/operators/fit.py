@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foreloom.functions import criteria
 from foreloom.functions.scalars import log10p1
 from foreloom.operators import kernel as K
+from foreloom.operators import search as S
 from foreloom.operators.css import (
     GRAD_FIELDS,
     as_array,
@@ -34,8 +35,9 @@ from foreloom.plans.joins import attach
 from foreloom.plans.packed import Packed, pack
 from foreloom.session import cut
 
-# Names of the search methods.  Gradient-based names share one bounded
-# Gauss-Newton search, derivative-free names share the simplex search.
+# Names of the search methods.  Gradient-based names share one search by slopes,
+# derivative-free names share the simplex search; both move in theta alone and
+# solve for the rest, and both end by their rules (``foreloom.operators.search``).
 GRADIENT_METHODS = ("L-BFGS", "SLSQP", "MMA")
 SIMPLEX_METHODS = ("Nelder-Mead", "Subplex")
 
@@ -50,7 +52,8 @@ def fit_candidates(
 
     ``candidates`` has keys, ids, p, d, q and constant.  A candidate that cannot
     be fitted has an infinite loss, or raises when ``silent`` is off.  ``converged``
-    is false where the limit of rounds or evaluations ended the search, not its rule.
+    says that the search ended by its rule; no number of rounds ends one, so that it is
+    false for a failed fit only.
     """
     if method not in (*GRADIENT_METHODS, *SIMPLEX_METHODS):
         raise ValueError(f"Invalid optimiser provided: {method}")
@@ -84,8 +87,7 @@ def fit_candidates(
                 chunks = [(i[2][:0], i[2], 0) for i in items]
                 batch = K.Batch(chunks, p, q)
                 mean = np.array([i[2].mean() if len(i[2]) else 0.0 for i in items])
-                search = K.fit_gauss_newton if method in GRADIENT_METHODS else K.fit_nelder_mead
-                x, css, ended = search(batch, mean, const)
+                x, css, ended = S.fit(batch, mean, const, S.descend if method in GRADIENT_METHODS else S.simplex)
                 c = x[:, -1] if const else np.zeros(len(items))
                 last = batch.newest(batch.residuals(x[:, :p], x[:, p : p + q], c), np.zeros((len(items), q)))
                 counted = batch.counts.sum(axis=1)
@@ -113,23 +115,14 @@ def fit_candidates(
 
 
 def _fit_long(packed: Packed, candidates: DataFrame, ids: list[str], method: str, silent: bool) -> DataFrame:
-    """Fits of series of many chunks, failed ones recorded as those of short series are.
-
-    There is no derivative-free search over chunks: asked for one, every fit is a failed one.
-    """
-    if method in GRADIENT_METHODS:
-        fits = _fit_over_chunks(packed, candidates, ids)
-        good = F.col("css").isNotNull() & ~F.isnan("css") & (F.col("css") < float("inf"))
-    else:
-        nothing = F.array().cast("array<double>")
-        fits = candidates.select(
-            "*", nothing.alias("phi"), nothing.alias("theta"), F.lit(0.0).alias("c"), nothing.alias("residuals"),
-            F.lit(float("inf")).alias("css"), F.lit(False).alias("converged"),
-        )
-        good = F.lit(False)
+    """Fits of series of many chunks, failed ones recorded as those of short series are."""
+    over_chunks = _slopes_over_chunks if method in GRADIENT_METHODS else _simplex_over_chunks
+    packed = packed.persist()
+    fits = over_chunks(packed, candidates, ids)
+    packed.frame.unpersist()
+    good = F.col("css").isNotNull() & ~F.isnan("css") & (F.col("css") < float("inf"))
     if not silent and not fits.where(~good).isEmpty():
-        why = "no finite loss" if method in GRADIENT_METHODS else f"no {method} search over series longer than packRows"
-        raise ValueError(f"failed to fit: {why}")
+        raise ValueError("failed to fit: no finite loss")
     none = {"c": F.lit(0.0), "css": F.lit(float("inf")), "converged": F.lit(False)}
     none = {n: none.get(n, F.array().cast("array<double>")) for n in FIT_NAMES}
     return fits.select(*[c for c in fits.columns if c not in none], *[F.when(good, F.col(n)).otherwise(v).alias(n) for n, v in none.items()])
@@ -140,99 +133,238 @@ def _fit_order(item):
     return int(m["p"]), int(m["q"]), bool(m["constant"]), K.length_class(len(item[2]))
 
 
-def _fit_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str], rounds: int = K.MAX_ROUNDS) -> DataFrame:
-    """Gauss-Newton over series of many chunks: one distributed evaluation per round.
+# The regression start of a long series comes from this many of its rows.
+PILOT_ROWS = 20_000
+
 
-    The state of the search (a few numbers per series and candidate) is a
-    DataFrame that is checkpointed each round; the driver only counts how many
-    searches go on.
+def _starts(packed: Packed, candidates: DataFrame, every: list[str], ids: list[str]) -> DataFrame:
+    """The starts that are followed, those of a short series: (every, start, theta, x, height, low, high, n).
+
+    The fixed start, and the best of a regression start and fixed roots, all of them scored in one pass over the chunks.
     """
     keys = packed.keys
-    packed = packed.persist()
-    fields = ["p", "d", "q", "constant"]
-    every = [*keys, *ids, *fields]
     means = _difference_means(packed, (0, 1, 2))
-    start = attach(candidates, means, keys, spread="p")
-    base = f"{ddl(candidates, every)}"
-    search = "x array<double>, low array<double>, high array<double>, damping double, done boolean"
-    names = [*every, "x", "low", "high", "damping", "done", "css", "grad", "gram"]
+    first = packed.frame.where("chunk = 0").select(*keys, "n_total", F.slice("vals", 1, PILOT_ROWS).alias("vals"))
+    known = means.join(first, keys) if keys else means.crossJoin(first)
+    all_of = [*every, "number", "theta", "low", "high", "n"]
 
     def begin(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                p, q, const = int(row.p), int(row.q), bool(row.constant)
-                K.check_order(p, int(row.d), q)
-                mean = as_array(row.means)[int(row.d)]
-                x, low, high = K.bounds(np.array([mean]), p, q, const)
-                head = [getattr(row, k) for k in every]
-                rows.append((*head, x[0].tolist(), low[0].tolist(), high[0].tolist(), 1e-3, x.shape[1] == 0))
-            yield pd.DataFrame(rows, columns=names[: len(every) + 5])
-
-    points = start.select(*every, "means").mapInPandas(begin, f"{base}, {search}")
-    first = loss_and_gradient(packed, points, [*ids, *fields])
-    points = cut(points.join(first, every))
-    state_schema = f"{base}, {search}, {GRAD_FIELDS}"
+                p, d, q, const = int(row.p), int(row.d), int(row.q), bool(row.constant)
+                K.check_order(p, d, q)
+                x, low, high = K.bounds(np.array([as_array(row.means)[d]]), p, q, const)
+                vals = as_array(row.vals)
+                own = np.diff(vals, d) if d else vals
+                choice = [x[0, p : p + q]]
+                if q:
+                    choice += [S.regression_starts(K.Batch([(own[:0], own, 0)], p, q))[0], *S.root_starts(q)]
+                head = [getattr(row, c) for c in every]
+                rows += [(*head, i, v.tolist(), low[0].tolist(), high[0].tolist(), row.n_total - d) for i, v in enumerate(choice)]
+            yield pd.DataFrame(rows, columns=all_of)
+
+    schema = f"{ddl(candidates, every)}, number int, theta array<double>, low array<double>, high array<double>, n long"
+    start = attach(candidates, known, keys, spread="p").select(*every, "means", "vals", "n_total")
+    asked = cut(start.mapInPandas(begin, schema))
+    scored = cut(asked.join(_heights(packed, asked, every, ids), [*every, "number"]))
+    # the fixed start and the lowest others; ties to the earlier
+    others = F.array_sort(F.collect_list(F.when(F.col("number") > 0, F.struct("height", "number"))))
+    best = scored.groupBy(*every).agg(F.slice(others, 1, S.FOLLOWED).alias("best"))
+    wanted = best.select(*every, F.explode(F.concat(F.array(F.lit(0)), F.transform("best", lambda b: b["number"]))).alias("number"))
+    return cut(scored.join(wanted, [*every, "number"]).withColumnRenamed("number", "start"))
+
+
+def _with_residuals(packed: Packed, ends: DataFrame, every: list[str], ids: list[str]) -> DataFrame:
+    """The lowest end (every, start, x, css) of every search as a model, with its newest residuals."""
+    solved = ends.groupBy(*every).agg(F.min_by(F.struct("x", "css"), F.struct("css", "start")).alias("e")).select(*every, "e.*")
+    models = cut(
+        solved.select(
+            *every,
+            F.slice("x", F.lit(1), F.col("p")).alias("phi"),
+            F.slice("x", F.col("p") + 1, F.col("q")).alias("theta"),
+            F.when(F.col("constant"), F.element_at("x", -1)).otherwise(0.0).alias("c"),
+            "css",
+            (F.col("css") < float("inf")).alias("converged"),
+            F.concat_ws("/", "p", "q", "constant").alias("candidate"),
+        )
+    )
+    states = fold_states(packed, models, [*ids, "candidate"])
+    return cut(
+        models.join(states, [*packed.keys, *ids, "candidate"]).select(
+            *every, "phi", "theta", "c", F.col("state.e_lags").alias("residuals"),
+            F.when(F.col("css") < float("inf"), F.col("state.css")).otherwise(F.col("css")).alias("css"), "converged",
+        )
+    )
+
+
+def _slopes_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str]) -> DataFrame:
+    """The search by slopes of ``foreloom.operators.search`` over series of many chunks.
+
+    The state of a search (a few numbers per series, candidate and start) is a row of a DataFrame that is written each
+    turn: one pass over the chunks gives slopes and curvature where a search stands, one the loss at its trial.  The
+    driver only asks whether searches go on.  The curvature is that of the residuals' slopes, the part of the linear
+    parameters taken out.
+    """
+    every = [*packed.keys, *ids, "p", "d", "q", "constant"]
+    own = [*every, "start"]
+    base = ddl(candidates, every) + ", start int"
+    place = "theta array<double>, x array<double>, css double, low array<double>, high array<double>, n long, radius double"
+    place_names = [f.split()[0] for f in place.split(", ")]
 
     def propose(batches):
         for pdf in batches:
-            trials = []
+            rows = []
             for row in pdf.itertuples(index=False):
-                x, g = as_array(row.x)[None], as_array(row.grad)[None]
-                gram = as_array(row.gram).reshape(1, x.shape[1], x.shape[1])
-                low, high = as_array(row.low)[None], as_array(row.high)[None]
-                coefs = int(row.p) + int(row.q)
-                trials.append(K.trial_step(x, g, gram, np.array([row.damping]), low, high, coefs)[0].tolist())
-            yield pdf.assign(trial=trials)
+                p, q, const = int(row.p), int(row.q), bool(row.constant)
+                x, low, high = as_array(row.x), as_array(row.low), as_array(row.high)
+                k = len(x)
+                gram, slope = as_array(row.gram).reshape(k, k), as_array(row.grad)[p : p + q]
+                z = [i for i in [*range(p), *([p + q] if const else [])] if low[i] < x[i] < high[i]]
+                t = list(range(p, p + q))
+                cross = gram[np.ix_(t, z)]
+                curve = 2 * (gram[np.ix_(t, t)] - cross @ np.linalg.pinv(gram[np.ix_(z, z)]) @ cross.T)
+                theta = as_array(row.theta)
+                good = np.isfinite(curve).all() and np.isfinite(slope).all()
+                step, foreseen, rest = (
+                    (v[0] for v in S.trust_step(theta[None], slope[None], curve[None], np.array([row.radius]), K.COEF_BOUND))
+                    if good else (np.zeros(q), 0.0, 0.0)
+                )
+                trial = np.clip(theta + step, -K.COEF_BOUND, K.COEF_BOUND)
+                rows.append((*[getattr(row, c) for c in [*own, *place_names]], float(foreseen), float(rest), trial.tolist()))
+            yield pd.DataFrame(rows, columns=[*own, *place_names, "foreseen", "rest", "trial"])
 
     def decide(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                x, trial = as_array(row.x)[None], as_array(row.trial)[None]
-                better, finished, damping = K.settle(
-                    x, np.array([row.css]), trial, np.array([row.css1]), np.array([row.damping])
-                )
-                new = (row.trial, row.css1, row.grad1, row.gram1) if better[0] else (row.x, row.css, row.grad, row.gram)
-                head = [getattr(row, k) for k in every]
+                size = float(np.abs(as_array(row.trial) - as_array(row.theta)).max(initial=0.0))
+                kept, radius, done = S.settled(row.css, row.height, row.foreseen, row.rest, size, row.radius)
+                theta, x, css = (row.trial, row.found, row.height) if kept else (row.theta, row.x, row.css)
+                rows.append((*[getattr(row, c) for c in own], theta, x, css, row.low, row.high, row.n, radius, done))
+            yield pd.DataFrame(rows, columns=[*own, *place_names, "done"])
+
+    started = _starts(packed, candidates, every, ids).withColumn("radius", F.lit(S.RADIUS)).withColumnRenamed("height", "css")
+    over = started.where("q = 0 OR css = double('inf')").select(*own, "x", "css")
+    active = started.where("q > 0 AND css < double('inf')").select(*own, *place_names)
+    while not active.isEmpty():
+        here = loss_and_gradient(packed, active.select(*own, "x"), [*ids, "start", "p", "d", "q", "constant"]).drop("css")
+        proposed = cut(active.join(here, own).mapInPandas(propose, f"{base}, {place}, foreseen double, rest double, trial array<double>"))
+        asked = proposed.select(*own, F.col("trial").alias("theta"), "low", "high", "n", F.col("start").alias("number"))
+        found = _heights(packed, asked, own, [*ids, "start"]).select(*own, "height", F.col("x").alias("found"))
+        moved = cut(proposed.join(found, own).mapInPandas(decide, f"{base}, {place}, done boolean"))
+        over = over.unionByName(moved.where("done").select(*own, "x", "css"))
+        active = moved.where("not done").drop("done")
+    return _with_residuals(packed, over, every, ids)
+
+
+def _heights(packed: Packed, thetas: DataFrame, every: list[str], ids: list[str]) -> DataFrame:
+    """The loss at each theta of ``thetas`` (every, number, theta, low, high, n) with the linear part solved for:
+    every, number, height, x.  All points of all searches take one pass over the chunks.
+
+    At parameters (0, theta, 0) the loss is a square in the linear ones, whose terms the chunks add up.
+    """
+    zeros = F.array_repeat(F.lit(0.0), F.col("p"))
+    tail = F.when(F.col("constant"), F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))
+    points = thetas.withColumn("x", F.concat(zeros, "theta", tail))
+    fields = ["number", "p", "d", "q", "constant"]
+    sums = loss_and_gradient(packed, points.select(*every, "number", "x"), [*ids, *fields])
+    met = points.select(*every, "number", "theta", "low", "high", "n").join(sums, [*every, "number"])
+    names = [*every, "number", "height", "x"]
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                p, q, const = int(row.p), int(row.q), bool(row.constant)
+                theta, k = as_array(row.theta), p + q + const
+                at = [*range(p), *([p + q] if const else [])]
+                x, height = np.zeros(k), np.inf
+                if np.isfinite(row.css) and S.computable(theta, int(row.n)):
+                    gram = as_array(row.gram).reshape(k, k)[np.ix_(at, at)]
+                    low, high = as_array(row.low)[at], as_array(row.high)[at]
+                    height, x[at] = S.least_of_square(float(row.css), as_array(row.grad)[at], gram, low, high)
+                    x[p : p + q] = theta
+                rows.append((*[getattr(row, c) for c in every], row.number, height, x.tolist()))
+            yield pd.DataFrame(rows, columns=names)
+
+    return met.mapInPandas(solve, f"{ddl(thetas, [*every, 'number'])}, height double, x array<double>")
+
+
+def _simplex_over_chunks(packed: Packed, candidates: DataFrame, ids: list[str]) -> DataFrame:
+    """The simplex search of ``foreloom.operators.search`` over series of many chunks.
+
+    A turn evaluates every point that any simplex may need in one pass over the chunks.  The simplexes are rows of a
+    DataFrame that is written each turn; the driver only asks whether any is left.
+    """
+    searched = [*packed.keys, *ids, "p", "d", "q", "constant"]
+    every = [*searched, "start"]
+    base = ddl(candidates, searched) + ", start int"
+    started = _starts(packed, candidates, searched, ids)
+    kept = [*every, "low", "high", "n", "points", "heights", "before", "fresh"]
+    kinds = "low array<double>, high array<double>, n long, points array<array<double>>, heights array<double>, before double, fresh boolean"
+
+    def asked(batches):
+        """The points to evaluate: corners of simplexes that are new, else what a turn may need."""
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                points = np.array([as_array(v) for v in row.points])
+                wanted = points if row.fresh else S.proposals(points[None])[0]
+                head = [getattr(row, c) for c in every]
+                rows += [(*head, i, v.tolist(), row.low, row.high, row.n) for i, v in enumerate(wanted)]
+            yield pd.DataFrame(rows, columns=[*every, "number", "theta", "low", "high", "n"])
+
+    def turned(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                points = np.array([as_array(v) for v in row.points])[None]
+                heights = np.array([r["height"] for r in sorted(row.found, key=lambda r: r["number"])])[None]
+                before, done = row.before, False
+                if row.fresh:
+                    points, values = S.ranked(points, heights)
+                    done = not np.isfinite(values[0, 0])
+                    fresh = False
+                else:
+                    points, values = S.turn(points, as_array(row.heights)[None], S.proposals(points), heights)
+                    fresh = bool(S.together(points)[0])
+                    if fresh:
+                        done = bool(np.isfinite(before)) and not values[0, 0] < before * (1 - S.AGAIN_REL)
+                        before = float(values[0, 0])
+                best = points[0, 0].tolist()
+                if fresh and not done:
+                    points = S.corners(points[:, 0], S.STEP_AGAIN)
+                head = [getattr(row, c) for c in every]
                 rows.append(
-                    (*head, new[0], row.low, row.high, float(damping[0]), bool(finished[0]), new[1], new[2], new[3])
+                    (*head, row.low, row.high, row.n, [v.tolist() for v in points[0]], values[0].tolist(), before, fresh, best, done)
                 )
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=[*kept, "best", "done"])
 
-    finished = points.where("done")
-    active = points.where("not done")
-    for _ in range(rounds):
+    def first(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                theta = as_array(row.theta)
+                points = S.corners(theta[None], S.STEP)[0] if len(theta) else np.zeros((1, 0))
+                head = [getattr(row, c) for c in every]
+                rows.append((*head, row.low, row.high, row.n, [v.tolist() for v in points], [], float("inf"), True))
+            yield pd.DataFrame(rows, columns=kept)
+
+    active = started.where("q > 0").select(*every, "theta", "low", "high", "n").mapInPandas(first, f"{base}, {kinds}")
+    over = started.select(*every, "theta", "low", "high", "n").where("q = 0")
+    while True:
+        active = cut(active)
         if active.isEmpty():
             break
-        proposed = active.mapInPandas(propose, f"{state_schema}, trial array<double>")
-        proposed = cut(proposed)
-        at_trial = proposed.select(*every, F.col("trial").alias("x"))
-        value = loss_and_gradient(packed, at_trial, [*ids, *fields])
-        renamed = value.withColumnsRenamed({"css": "css1", "grad": "grad1", "gram": "gram1"})
-        decided = cut(proposed.join(renamed, every).mapInPandas(decide, state_schema))
-        finished = finished.unionByName(decided.where("done"))
-        active = decided.where("not done")
-    solved = finished.unionByName(active)
-    models = cut(
-        solved.select(
-            *every,
-            F.slice("x", F.lit(1), F.col("p")).alias("phi"),
-            F.slice("x", F.col("p") + 1, F.col("q")).alias("theta"),
-            F.when(F.col("constant"), F.element_at("x", -1)).otherwise(0.0).alias("c"),
-            "css",
-            F.col("done").alias("converged"),
-            F.concat_ws("/", "p", "q", "constant").alias("candidate"),
-        )
-    )
-    states = fold_states(packed, models, [*ids, "candidate"])
-    out = cut(
-        models.join(states, [*keys, *ids, "candidate"]).select(
-            *every, "phi", "theta", "c", F.col("state.e_lags").alias("residuals"), "css", "converged"
-        )
-    )
-    packed.frame.unpersist()
-    return out
+        wanted = cut(active.mapInPandas(asked, f"{base}, number int, theta array<double>, low array<double>, high array<double>, n long"))
+        found = _heights(packed, wanted, every, [*ids, "start"]).groupBy(*every).agg(F.collect_list(F.struct("number", "height")).alias("found"))
+        moved = cut(active.join(found, every).mapInPandas(turned, f"{base}, {kinds}, best array<double>, done boolean"))
+        over = over.unionByName(moved.where("done").select(*every, F.col("best").alias("theta"), "low", "high", "n"))
+        active = moved.where("not done").select(*kept)
+    ends = cut(over.withColumn("number", F.lit(0)))
+    solved = _heights(packed, ends, every, [*ids, "start"]).select(*every, "x", F.col("height").alias("css"))
+    return _with_residuals(packed, cut(solved), searched, ids)
 
 
 def arima_fit(

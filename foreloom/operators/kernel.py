@@ -18,9 +18,8 @@ CONSTANT_SCALE = 10.0
 CONSTANT_FLOOR = 1.0
 XTOL_REL = 1e-6
 
-# Limits of our own search.
+# Of our own search over chunks: a fall of the loss that ends it, and the longest step.
 FTOL_REL = 1e-9
-MAX_ROUNDS = 100
 MAX_MOVE = 0.5
 
 
@@ -225,89 +224,3 @@ def settle(x, f, trial, f_trial, damping):
     flat = np.abs(f - f_trial) <= FTOL_REL * np.abs(f)
     finished = ~moved.any(axis=1) | (better & flat) | (~better & (damping > 1e8))
     return better, finished, np.where(better, np.maximum(damping / 5.0, 1e-12), damping * 8.0)
-
-
-def fit_gauss_newton(batch: Batch, mean: np.ndarray, constant: bool):
-    """Minimise the loss of every series of a batch from the fixed start: parameters, losses, and which searches ended by their rule."""
-    x, low, high = bounds(mean, batch.p, batch.q, constant)
-    f, grad, gram, _, _ = batch.sums(x, constant)
-    damping = np.full(batch.rows, 1e-3)
-    live = np.arange(batch.rows) if x.shape[1] else np.arange(0)
-    for _ in range(MAX_ROUNDS):
-        if not len(live):
-            break
-        part = batch if len(live) == batch.rows else batch.take(live)
-        trial = trial_step(x[live], grad[live], gram[live], damping[live], low[live], high[live], batch.p + batch.q)
-        ft, gt, mt, _, _ = part.sums(trial, constant)
-        better, finished, damping[live] = settle(x[live], f[live], trial, ft, damping[live])
-        won = live[better]
-        x[won], f[won], grad[won], gram[won] = trial[better], ft[better], gt[better], mt[better]
-        live = live[~finished]
-    return x, f, ~np.isin(np.arange(batch.rows), live)
-
-
-def fit_nelder_mead(batch: Batch, mean: np.ndarray, constant: bool, max_evaluations: int = 4000):
-    """Derivative-free search, one series after the other; returns as ``fit_gauss_newton`` does."""
-    x, low, high = bounds(mean, batch.p, batch.q, constant)
-    p, q = batch.p, batch.q
-    best, ended = np.empty(batch.rows), np.zeros(batch.rows, dtype=bool)
-    for i in range(batch.rows):
-        one = batch.take(np.array([i]))
-
-        def loss(v, one=one):
-            c = v[-1:] if constant else np.zeros(1)
-            e = one.residuals(v[None, :p], v[None, p : p + q], c)
-            with np.errstate(all="ignore"):
-                s = float(np.sum(e * e))
-            return s if np.isfinite(s) else np.inf
-
-        x[i], best[i], ended[i] = _simplex_search(loss, x[i], low[i], high[i], max_evaluations)
-    return x, best, ended
-
-
-def _simplex_search(loss, start, low, high, max_evaluations):
-    """Nelder-Mead with clipping to the bounds."""
-    k = len(start)
-    if k == 0:
-        return start, loss(start), True
-    corners = [start]
-    for j in range(k):
-        v = start.copy()
-        step = min(0.25 * (high[j] - low[j]), max(0.5 * abs(v[j]), 0.25))
-        v[j] = v[j] + step if v[j] + step <= high[j] else v[j] - step
-        corners.append(v)
-    points = np.array(corners)
-    values = np.array([loss(v) for v in points])
-    used, ended = k + 1, False
-    while used < max_evaluations:
-        order = np.argsort(values, kind="stable")
-        points, values = points[order], values[order]
-        spread = np.abs(points[1:] - points[0]).max(axis=0)
-        if np.all(spread <= XTOL_REL * np.maximum(np.abs(points[0]), 1e-9)):
-            ended = True
-            break
-        middle = points[:-1].mean(axis=0)
-        away = middle - points[-1]
-        reflected = np.clip(middle + away, low, high)
-        fr = loss(reflected)
-        used += 1
-        if fr < values[0]:
-            further = np.clip(middle + 2.0 * away, low, high)
-            fe = loss(further)
-            used += 1
-            points[-1], values[-1] = (further, fe) if fe < fr else (reflected, fr)
-        elif fr < values[-2]:
-            points[-1], values[-1] = reflected, fr
-        else:
-            inward = middle + (0.5 if fr < values[-1] else -0.5) * away
-            inward = np.clip(inward, low, high)
-            fc = loss(inward)
-            used += 1
-            if fc < min(fr, values[-1]):
-                points[-1], values[-1] = inward, fc
-            else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [loss(v) for v in points[1:]]
-                used += k
-    at = int(np.argmin(values))
-    return points[at], float(values[at]), ended

@@ -557,33 +557,108 @@ def _(t):
     return out.select("k", *[F.round(F.col("phi")[i], 6).alias(f"phi{i + 1}") for i in range(2)])
 
 
-@query("ma_initial_guess")
+# theta = gamma_1 / gamma_0 of the residuals of an AR(1), whose coefficient is gamma_1 / gamma_0 of the series
+@query(
+    "ma_initial_guess",
+    f"""WITH {USERS}, r AS (SELECT k, i, y, y - AVG(y) OVER (PARTITION BY k) AS m FROM u),
+        l AS (SELECT k, i, y, m, LAG(m) OVER o AS m1, LAG(y) OVER o AS y1 FROM r WINDOW o AS (PARTITION BY k ORDER BY i)),
+        a AS (SELECT k, SUM(m * m1) / SUM(m * m) AS phi FROM l GROUP BY k),
+        e AS (SELECT l.k, i, y - phi * COALESCE(y1, 0.0) AS e FROM l JOIN a ON a.k = l.k),
+        c AS (SELECT k, i, e - AVG(e) OVER (PARTITION BY k) AS c FROM e),
+        d AS (SELECT k, c, LAG(c) OVER (PARTITION BY k ORDER BY i) AS c1 FROM c)
+        SELECT k, ROUND(SUM(c * c1) / SUM(c * c), 6) AS theta1 FROM d GROUP BY k""",
+)
 def _(t):
     out = Fit.ma_initial_guess(users(t), ["k"], 1, 1)
-    return out.select("k", F.col("theta")[0].alias("theta1"))
+    return out.select("k", F.round(F.col("theta")[0], 6).alias("theta1"))
 
 
-def _fit_columns(df):
-    return df.select(
-        "k", "p", "d", "q", F.concat_ws(",", F.transform("phi", lambda x: F.round(x, 4).cast("string"))).alias("phi"),
-        F.concat_ws(",", F.transform("theta", lambda x: F.round(x, 4).cast("string"))).alias("theta"), "c", "css", "converged",
+# Parameters that every fit has to come up to: phi, theta, and the constant that keeps the mean.
+GRID = [(a, b) for a in (-0.6, -0.2, 0.2, 0.6) for b in (-0.8, -0.4, 0.0, 0.4, 0.8)]
+
+
+def grid_sql(source: str, d: int, final: str) -> str:
+    """Recursive losses of an ARMA(1,1) at every point of the grid: f(k, a, b, i, e, css)."""
+    points = ", ".join(f"({a}, {b})" for a, b in GRID)
+    return f"""WITH RECURSIVE {source}, {diffs_sql(d)},
+      g(a, b) AS (VALUES {points}), m AS (SELECT k, AVG(y) AS mean FROM w GROUP BY k),
+      l AS (SELECT w.k, i, a, b, y - mean * (1 - a) - a * LAG(y) OVER (PARTITION BY w.k, a, b ORDER BY i) AS z
+            FROM w JOIN m ON m.k = w.k CROSS JOIN g),
+      f AS (SELECT DISTINCT k, a, b, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS css FROM l
+            UNION ALL
+            SELECT k, a, b, i, e, css + e * e FROM (
+              SELECT f.k, f.a, f.b, l.i, f.css, l.z - f.b * f.e AS e FROM f JOIN l ON l.k = f.k AND l.a = f.a AND l.b = f.b AND l.i = f.i + 1)),
+      s AS (SELECT k, a, b, ARG_MAX(css, i) AS css FROM f GROUP BY k, a, b)
+      {final}"""
+
+
+LEAST = "SELECT k, 1 AS p, {d} AS d, 1 AS q, ROUND(MIN(css), 4) AS grid_css, TRUE AS at_or_under, TRUE AS same_loss, TRUE AS converged FROM s GROUP BY k"
+
+
+def _against_grid(rows, fits, d: int):
+    """Fits beside the least loss of the grid: whether they come up to it, and whether their loss is that of their parameters."""
+    packed = pack(rows, ["k"])
+    mean = packed.frame.select("k", "vals")
+    for _ in range(d):
+        mean = mean.withColumn("vals", F.transform(F.sequence(F.lit(1), F.size("vals") - 1), lambda i: F.get("vals", i) - F.get("vals", i - 1)))
+    mean = mean.select("k", (F.aggregate("vals", F.lit(0.0), lambda s, x: s + x) / F.size("vals")).alias("mean"))
+    points = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in GRID])).alias("g")
+    grid = mean.select("k", "mean", points)
+    models = grid.select(
+        "k", F.concat_ws("/", "g.a", "g.b").alias("point"), F.array("g.a").alias("phi"), F.array("g.b").alias("theta"),
+        (F.col("mean") * (1 - F.col("g.a"))).alias("c"), F.lit(d).alias("d"),
+    )
+    least = S.css_losses(packed, models, ["point"]).groupBy("k").agg(F.min("css").alias("grid_css"))
+    again = S.css_losses(packed, fits.select("k", "phi", "theta", "c", "d")).withColumnRenamed("css", "again")
+    return fits.join(least, "k").join(again, "k").select(
+        "k", "p", "d", "q", F.round("grid_css", 4).alias("grid_css"), (F.col("css") <= F.col("grid_css") * (1 + 1e-9)).alias("at_or_under"),
+        (F.abs(F.col("again") - F.col("css")) <= 1e-6 * F.col("css")).alias("same_loss"), "converged",
     )
 
 
-@query("arima_fit")
+@query("arima_fit", grid_sql(USERS, 0, LEAST.format(d=0)))
 def _(t):
-    return _fit_columns(Fit.arima_fit(daily(t), ["k"], (1, 0, 1)))
+    """ARMA(1,1) of every user, none above the best point of a fixed grid."""
+    return _against_grid(users(t), Fit.arima_fit(users(t), ["k"], (1, 0, 1)), 0)
 
 
-@query("arima_fit_nelder_mead")
+@query("arima_fit_differenced", grid_sql(DAILY, 1, LEAST.format(d=1)))
 def _(t):
-    return _fit_columns(Fit.arima_fit(daily(t), ["k"], (1, 0, 1), method="Nelder-Mead"))
+    return _against_grid(daily(t), Fit.arima_fit(daily(t), ["k"], (1, 1, 1)), 1)
 
 
-@query("autoarima_fit")
+@query("arima_fit_nelder_mead", grid_sql(USERS, 0, LEAST.format(d=0)))
 def _(t):
-    """Order search for every user."""
-    return _fit_columns(Fit.autoarima_fit(users(t), ["k"]))
+    """The same by the simplex search."""
+    return _against_grid(users(t), Fit.arima_fit(users(t), ["k"], (1, 0, 1), method="Nelder-Mead"), 0)
+
+
+# criterion of the constant alone, the first order that every search tries
+_MEAN_AICC = "-2.0 * (-0.5 * n * (LN(2 * PI()) + LN(css / n) + 1.0)) + 4.0 + 12.0 / (n - 3.0)"
+
+
+@query(
+    "autoarima_fit",
+    f"""WITH {DAILY}, x AS (SELECT k, COUNT(*) AS n, SUM(y * y) - SUM(y) * SUM(y) / COUNT(*) AS css FROM u GROUP BY k)
+        SELECT k, ROUND({_MEAN_AICC}, 4) AS mean_aicc, TRUE AS at_or_under, TRUE AS same_loss, TRUE AS ended FROM x""",
+)
+def _(t):
+    """Order search for every daily series; a series that needs no difference comes up to its mean as a model."""
+    rows = daily(t)
+    packed, plan = Fit.prepare_search(rows, ["k"])
+    tried = Fit.autoarima_search(packed, plan)
+    best = Fit.best_candidate(tried, ["k"])
+    plain = pack(rows, ["k"])
+    of_mean = Fit.fit_candidates(plain, Fit.same_order(plain, (0, 0, 0), True)).join(plan.select("k", "n", "use_log"), "k")
+    of_mean = Fit.with_aicc(of_mean).select("k", F.col("aicc").alias("mean_aicc"))
+    again = S.css_losses(packed, best.select("k", "phi", "theta", "c", "d")).withColumnRenamed("css", "again")
+    of_first = tried.where("round = 0 AND p = 0 AND q = 0").groupBy("k").agg(F.min("aicc").alias("first"))
+    ended = tried.where("css < double('inf')").groupBy("k").agg(F.min("converged").alias("ended"))
+    out = best.join(of_mean, "k").join(again, "k").join(of_first, "k").join(ended, "k")
+    return out.select(
+        "k", F.round("mean_aicc", 4).alias("mean_aicc"), (F.col("aicc") <= F.col("first")).alias("at_or_under"),
+        (F.abs(F.col("again") - F.col("css")) <= 1e-6 * F.col("css")).alias("same_loss"), "ended",
+    )
 
 
 @query(
