@@ -230,16 +230,37 @@ def _ids_ddl(models: DataFrame, ids: list[str]) -> str:
     return ddl(models, ids) + ", " if ids else ""
 
 
-def _chained(packed: Packed, models: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
-    """Per chunk, its models with the exact residuals before the chunk as ``entry``."""
+def _skip(p: int, q: int, warmup: str) -> int:
+    """Rows at the start of a series that do not count."""
+    return {"skip": max(p, q), "early": max(0, max(p, q) - 1), "none": 0}[warmup]
+
+
+def _counted_from(work: list, warmup: str) -> list:
+    """Work items of a variant: without warm-up a series starts from levels of zero, and its differences are as long as it."""
+    if warmup != "none":
+        return work
+    out = []
+    for row, m, before, own, pos, entry, state in work:
+        d, first = int(m["d"]), int(row.first)
+        if first == 0:
+            own = np.diff(np.concatenate([np.zeros(d), as_array(row.vals)]), d) if d else own
+        out.append((row, m, before, own, first, entry, state))
+    return out
+
+
+def _chained(packed: Packed, models: DataFrame, ids: list[str], fields: list[str], warmup: str = "skip") -> DataFrame:
+    """Per chunk, its models with the exact residuals before the chunk as ``entry``.
+
+    What a chunk makes of the residuals before it is an affine map: its ends from zero, and a matrix for the rest.
+    """
     keys = packed.keys
     names = [*keys, "chunk", *ids, "n_counted", "ends"]
 
     def ends(batches):
         for pdf in batches:
             rows = []
-            for (p, q, _), items in by_order(_work(pdf), _order):
-                batch, e, entry = _evaluate(items, p, q)
+            for (p, q, _), items in by_order(_counted_from(_work(pdf), warmup), _order):
+                batch, e, entry = _evaluate(items, p, q, _skip(p, q, warmup))
                 last = batch.newest(e, entry)
                 for item, end, counts in zip(items, last, batch.counts):
                     rows.append(
@@ -294,12 +315,10 @@ def residual_arrays(packed: Packed, models: DataFrame, ids: list[str], warmup: s
     """Per chunk the residuals of its own rows: keys, chunk, ids, pos0, e."""
     if warmup not in WARMUPS:
         raise ValueError(f"unknown warmup {warmup}")
-    if warmup != "skip" and packed.long:
-        raise ValueError("this variant is defined on series of one chunk only")
     keys = packed.keys
     fields = [*ids, "phi", "theta", "c", "d"]
     if packed.long:
-        chunks = packed.frame.join(_chained(packed, models, ids, fields), [*keys, "chunk"])
+        chunks = packed.frame.join(_chained(packed, models, ids, fields, warmup), [*keys, "chunk"])
     else:
         chunks = with_models(packed, models, fields)
     names = [*keys, "chunk", *ids, "pos0", "skip", "e"]
@@ -307,14 +326,8 @@ def residual_arrays(packed: Packed, models: DataFrame, ids: list[str], warmup: s
     def run(batches):
         for pdf in batches:
             rows = []
-            work = _work(pdf)
-            if warmup == "none":
-                work = [
-                    (r, m, b, np.diff(np.concatenate([np.zeros(int(m["d"])), as_array(r.vals)]), int(m["d"])), pos, en, s)
-                    for r, m, b, own, pos, en, s in work
-                ]
-            for (p, q, _), items in by_order(work, _order):
-                skip = {"skip": max(p, q), "early": max(0, max(p, q) - 1), "none": 0}[warmup]
+            for (p, q, _), items in by_order(_counted_from(_work(pdf), warmup), _order):
+                skip = _skip(p, q, warmup)
                 _, e, _ = _evaluate(items, p, q, skip)
                 for item, e_i in zip(items, e):
                     rows.append(

@@ -16,7 +16,7 @@ QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 LONG = """read_series css_loss css_loss_d1 css_incremental css_full_table advance_states residuals win_running_css
 kpss choose_d difference integrate win_lag_features win_ffill autocovariance win_row_number win_cumsum_by_value
 win_cumsum_by_ratio split_num decision_tree update_residuals dict_encode forecast_from_state breach_check
-arima_fit_ar""".split()
+arima_fit_ar css_loss_sql state_transition_telescoping""".split()
 
 
 def norm(v):
