@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foreloom.llm.common import WordHashes, discard, mixed, park, raw, slices, small
 from foreloom.llm.components import components, joined
 from foreloom.llm.prefix import numbered
+from foreloom.llm.set_join import bitmaps, differ, forest, maps
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class Sketch:
     A register is 1 - floor(log_base(minimum)) over the elements' exponential values of rate ``rate``, cut to 0 .. 65535.
     ``bands`` times ``rows`` registers; two sets at the threshold of 0.8 miss all bands with probability
     (1 - 0.8^rows)^bands, about 7e-5 here, and fall under ``doubt`` in the estimate at about four standard errors.
+    ``bitmap`` is the number of bits of a set's parity map, by which pairs that cannot be links are told without their
+    texts.
     """
 
     words: int = 4
@@ -33,6 +36,11 @@ class Sketch:
     rate: float = 20.0
     doubt: float = 0.65
     block: int = 256
+    bitmap: int = 2048
+
+    def apart(self, sizes):
+        """The most elements in which two linked sets can differ, given the sum of their sizes."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
 
     @property
     def registers(self) -> int:
@@ -122,11 +130,11 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: f
     return (low + high) / 2
 
 
-SKETCHED = "row long, doc_id {id}, n_shingles long, sig binary, regs binary"
+SKETCHED = "row long, doc_id {id}, n_shingles long, sig binary, regs binary, bits binary"
 
 
 def sketched(rows: DataFrame, p: Sketch) -> DataFrame:
-    """Set size, a digest of the set and its registers for each (row, text, doc_id)."""
+    """Set size, a digest of the set, its registers and its parity map for each (row, text, doc_id)."""
 
     def run(batches):
         hashes, registers = WordHashes(), Registers(p)
@@ -139,6 +147,9 @@ def sketched(rows: DataFrame, p: Sketch) -> DataFrame:
                     if k is not None:
                         new.setdefault(k, s)
                 regs = dict(zip(new, registers.of(list(new.values())))) if new else {}
+                flat = np.concatenate([*new.values(), np.empty(0, np.uint64)])
+                ends = np.cumsum([0, *map(len, new.values())])
+                bits = {k: m.tobytes() for k, m in zip(new, bitmaps(flat, ends, p.bitmap))} if new else {}
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -146,8 +157,9 @@ def sketched(rows: DataFrame, p: Sketch) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(sigs, pa.binary()),
                         pa.array([regs[k].astype(">u2").tobytes() if k is not None else None for k in sigs], pa.binary()),
+                        pa.array([bits.get(k) for k in sigs], pa.binary()),
                     ],
-                    ["row", "doc_id", "n_shingles", "sig", "regs"],
+                    ["row", "doc_id", "n_shingles", "sig", "regs", "bits"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -155,23 +167,24 @@ def sketched(rows: DataFrame, p: Sketch) -> DataFrame:
 
 
 def _estimate(pairs: DataFrame, classes: DataFrame, p: Sketch) -> DataFrame:
-    """Of pairs (a, b) of classes those that the registers do not rule out."""
+    """Of pairs (a, b) of classes those that neither the registers nor the parity maps rule out."""
 
     def run(batches):
         for x in batches:
             if not len(x):
                 continue
             regs = [np.frombuffer(b"".join(x.column(i).to_pylist()), ">u2").reshape(len(x), -1) for i in (2, 3)]
-            n = [x.column(i).to_numpy().astype(np.float64) for i in (4, 5)]
-            keep = likely(regs[0], regs[1], n[0], n[1], p.base) >= p.doubt
+            n = [x.column(i).to_numpy() for i in (4, 5)]
+            keep = likely(regs[0], regs[1], n[0].astype(np.float64), n[1].astype(np.float64), p.base) >= p.doubt
+            keep &= differ(maps(x.column(6), p), maps(x.column(7), p)) <= p.apart(n[0] + n[1])
             yield x.select([0, 1]).filter(pa.array(keep))
 
-    ra = classes.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
-    rb = classes.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
+    ra = classes.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    rb = classes.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     joined = pairs.join(rb, "b").join(ra, "a").where(
         (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
     )
-    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ra", "rb", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, p: Sketch) -> DataFrame:
@@ -198,12 +211,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Sketch) -> DataFrame:
     return out
 
 
-def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, p: Sketch, whole: bool) -> DataFrame:
     """Candidate pairs in buckets that hold several components: (a, b) with a plausible estimate across components.
 
     A bucket's members are cut into blocks of one component or of several small ones; pairs of blocks that may cross
-    components are compared inside a task, register by register, and only what passes leaves it.  ``most`` bounds
-    what a member and a block hand over in a first pass; the last pass has no bound.
+    components are compared inside a task, register by register and then by their parity maps, and only what passes
+    leaves it.  Unless ``whole``, a task hands on no more than it takes to connect what passes.
     """
     size = F.lit(p.block)
     per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("held"))
@@ -217,9 +230,9 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
     groups = groups.withColumn("blocks", F.ceil(F.col("size") / size).cast("int"))
     rows = rows.join(groups.select("key", "own", "blocks"), ["key", "own"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("rep", "regs", "n"), "rep")
+    rows = rows.join(classes.select("rep", "regs", "bits", "n"), "rep")
     packed = rows.groupBy("key", "own", "block").agg(
-        F.min("band").alias("band"), F.collect_list(F.struct("rep", "component", "n", "regs")).alias("held")
+        F.min("band").alias("band"), F.collect_list(F.struct("rep", "component", "n", "regs", "bits")).alias("held")
     )
     packed = park(packed, "blocks")
     names = packed.select("key", "own", "block")
@@ -235,10 +248,10 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
         held = column.values
         regs = np.frombuffer(b"".join(held.field("regs").to_pylist()), ">u2").reshape(len(held), -1).astype(np.uint16)
         named = [held.field(c).to_numpy() for c in ("rep", "component", "n")]
-        return column.offsets.to_numpy(), *named[:2], named[2].astype(np.float64), regs
+        return column.offsets.to_numpy(), *named[:2], named[2].astype(np.float64), regs, maps(held.field("bits"), p)
 
     def plausible(x, y, i, j, band):
-        """Of places (i, j) on the two sides those that may be links, with their estimates."""
+        """Of places (i, j) on the two sides those that may be links, with the places in which their maps differ."""
         fit = x[2][i] != y[2][j]  # of different components
         fit &= (np.minimum(x[3][i], y[3][j]) * 100 >= np.maximum(x[3][i], y[3][j]) * p.percent)
         i, j, band = i[fit], j[fit], band[fit]
@@ -250,7 +263,10 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
         i, j = i[fit], j[fit]
         value = likely(x[4][i], y[4][j], x[3][i], y[3][j], p.base)
         fit = value >= p.doubt
-        return i[fit], j[fit], value[fit]
+        i, j = i[fit], j[fit]
+        apart = differ(x[5][i], y[5][j])
+        fit = apart <= p.apart((x[3][i] + y[3][j]).astype(np.int64))
+        return i[fit], j[fit], apart[fit]
 
     def run(batches):
         for batch in batches:
@@ -264,11 +280,9 @@ def _across(members: DataFrame, classes: DataFrame, p: Sketch, most: int | None)
                     continue
                 i, j, value = plausible(x, y, *(np.concatenate(c) for c in zip(*held)))
                 held, waiting = [], 0
-                if most is not None:
-                    order = np.lexsort((-value, i))
-                    i, j = i[order], j[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[place < most], j[place < most]
+                if not whole and len(i):
+                    keep = forest(x[2][i], y[2][j], value)
+                    i, j = i[keep], j[keep]
                 one, two = x[1][i], y[1][j]
                 out.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
             ends = sorted(out)
@@ -283,7 +297,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents are linked when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; component is
     the smallest id that links reach.  Equal sets are one class from the start, so copies are compared once.  Every
     class is compared with the first one of each of its buckets; where a bucket then still holds several components,
-    all of its pairs across components are compared by their registers.  Every link is confirmed on the full sets.
+    all of its pairs across components are compared by their registers and parity maps.  Every link is confirmed on the
+    full sets.
 
     Null text, or text without words: an empty set, linked with nothing, kept.  A null id takes part, and comes after
     all others; a component of null ids alone has a null component.  Repeated rows: one is kept.  An empty table
@@ -293,7 +308,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sk = park(sketched(rows, p), "sketches")
     full = sk.where("n_shingles > 0")
     classes = park(
-        full.groupBy("sig").agg(F.min("row").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes"
+        full.groupBy("sig").agg(F.min("row").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bits").alias("bits")), "classes"
     )
     band = F.posexplode(
         F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * p.rows * i, 2 * p.rows)) for i in range(p.bands)])
@@ -305,14 +320,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     tried = park(_estimate(star, classes, p), "pairs")
     roots = park(components(_verified(tried, texts, p)), "roots")
-    for most in (1, None):
+    for whole in (False, True):
         of = F.coalesce(F.col("component"), F.col("rep")).alias("component")
         placed = park(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", of), "placed")
-        more = park(_across(placed, classes, p, most).join(tried, ["a", "b"], "left_anti"), "across")
-        if more.isEmpty():
-            continue  # best partners that were all tried say nothing of the others
-        roots = park(joined(roots, _verified(more, texts, p)), "roots")
-        tried = tried.unionAll(more)
+        found = _across(placed, classes, p, whole).join(tried.withColumn("known", F.lit(True)), ["a", "b"], "left")
+        found = park(found, "across")
+        fresh = park(found.where("known IS NULL").select("a", "b"), "fresh")
+        linked = _verified(fresh, texts, p)
+        if not linked.isEmpty():
+            roots = park(joined(roots, linked), "roots")
+        if found.where("known").isEmpty() and fresh.join(linked, ["a", "b"], "left_anti").isEmpty():
+            break  # what passed was connected by pairs that are links: nothing is left between components
+        tried = tried.unionAll(fresh)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("root"))
     named = park(named, "named")
     first = sk.select(F.col("row").alias("_first"), F.col("doc_id").alias("component"))

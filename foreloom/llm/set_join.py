@@ -126,7 +126,7 @@ class Shingles:
             size += len(t or b"") + 1
 
 
-def _bitmaps(fp: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+def bitmaps(fp: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     """For each set the parity of its elements by place: two maps differ in no more places than the sets in elements."""
     k = len(offsets) - 1
     place = (mixed(fp + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % bits
@@ -148,11 +148,11 @@ def _scanned(rows: DataFrame, p: Join) -> DataFrame:
                 k, n = len(offsets) - 1, np.diff(offsets)
                 total += np.bincount((fp >> np.uint64(64 - p.sketch_bits)).astype(np.int64), minlength=len(total))
                 sigs = [hashlib.blake2b(fp[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(k)]
-                maps = _bitmaps(fp, offsets, p.bitmap)
+                parity = bitmaps(fp, offsets, p.bitmap)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).slice(at, k), part.column(2).slice(at, k), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()),
-                        pa.array([m.tobytes() if s else None for m, s in zip(maps, sigs)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                        pa.array([m.tobytes() if s else None for m, s in zip(parity, sigs)], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                     ],
                     NAMES,
                 )
@@ -287,11 +287,11 @@ def _index(n: Column, p: Join) -> Column:
     return n - F.ceil(n * (2 * p.percent) / (100 + p.percent) - 1e-9) + 1
 
 
-def _differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
 
 
-def _maps(column, p: Join) -> np.ndarray:
+def maps(column, p) -> np.ndarray:
     """Parity maps of a column as rows of 64-bit words."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), p.bitmap // 64)
 
@@ -303,7 +303,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, p: Join) -> DataFrame:
         for x in batches:
             if len(x):
                 n = x.column(2).to_numpy() + x.column(3).to_numpy()
-                keep = _differ(_maps(x.column(4), p), _maps(x.column(5), p)) <= p.apart(n)
+                keep = differ(maps(x.column(4), p), maps(x.column(5), p)) <= p.apart(n)
                 yield x.select([0, 1]).filter(pa.array(keep))
 
     of = lambda end: classes.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")).hint("merge")
@@ -319,7 +319,7 @@ class _Held:
         held = column.flatten()
         self.offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
         self.row, self.component, self.n, self.pos, self.apart = (held.field(c).to_numpy() for c in ("row", "component", "n", "pos", "apart"))
-        self.maps = _maps(held.field("bits"), p)
+        self.maps = maps(held.field("bits"), p)
 
 
 def _survive(x: _Held, y: _Held, i: np.ndarray, j: np.ndarray, p: Join):
@@ -340,12 +340,12 @@ def _survive(x: _Held, y: _Held, i: np.ndarray, j: np.ndarray, p: Join):
     value = np.empty(len(i), np.int64)
     for at in range(0, len(i), 1 << 15):
         part = slice(at, at + (1 << 15))
-        value[part] = _differ(x.maps[i[part]], y.maps[j[part]])
+        value[part] = differ(x.maps[i[part]], y.maps[j[part]])
     fit = value <= most
     return i[fit], j[fit], value[fit]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
+def forest(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Places of the pairs that join components not yet joined by nearer ones."""
     root, keep = {}, []
 
@@ -398,7 +398,7 @@ def _candidates(members: DataFrame, roots: DataFrame, answers: DataFrame, classe
     def pairs_of(x: _Held, y: _Held, i, j):
         i, j, value = _survive(x, y, i, j, p)
         if not whole and len(i):
-            keep = _forest(x.component[i], y.component[j], value)
+            keep = forest(x.component[i], y.component[j], value)
             i, j = i[keep], j[keep]
         return x.row[i], y.row[j]
 

@@ -5,13 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foreloom.llm import collocations, merkle, set_join
+from foreloom.llm import collocations, merkle, near_dedup, set_join
 from foreloom.llm.prefix import numbered
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string, rank long, _row string, digest string, fp int"
@@ -212,7 +211,7 @@ def test_sets_of_long_texts_are_those_of_the_whole():
 def test_parity_maps_never_overstate():
     draw = np.random.default_rng(1)
     a, b = (np.unique(draw.integers(0, 400, 200).astype(np.uint64)) for _ in range(2))
-    maps = set_join._bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 64)
+    maps = set_join.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 64)
     x, y = maps.view(np.uint64)
     assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
@@ -299,3 +298,14 @@ def test_nodes_cover_intervals(spark):
         if x.level:
             run = [by[x.source, x.level - 1, lo] for lo in range(x.lo, x.hi, 3 ** (x.level - 1))]
             assert run[-1].hi == x.hi and x.digest == H(*[c.digest for c in run])
+
+
+# --- near copies by registers, on groups as above
+
+
+@pytest.mark.parametrize("rows", [near_copies(1, 120, 100, 12, 3), near_copies(5, 20, 90, 8, 6)])
+def test_near_copies_in_small_blocks(spark, rows):
+    """Links around the threshold of 0.8 in blocks so small that pairs of blocks are compared."""
+    p = near_dedup.Sketch(block=8)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(numbered(table(spark, rows)), p=p).collect()}
+    assert got == plain_components(rows, p)
