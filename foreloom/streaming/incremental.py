@@ -14,7 +14,7 @@ from foreloom.operators.css import fold_states
 from foreloom.plans.joins import attach
 from foreloom.plans.packed import pack
 from foreloom.session import cut
-from foreloom.sources.registry import Registry, Snapshot, merge, train
+from foreloom.sources.registry import Registry, Snapshot, changes, model_id, train
 
 # naive: refit with every batch; geometric: refit on a breach; fixed: never refit
 POLICIES = ("naive", "geometric", "fixed")
@@ -70,46 +70,64 @@ def process_batch(
     policy: str = "geometric",
     mark: str | None = None,
 ) -> Snapshot:
-    """Fold one micro-batch into the newest snapshot and store the next one.
+    """Fold one micro-batch into the newest state and commit what it changes.
 
-    ``history`` returns series_id, ts, value with the batch included; it is read
-    for breached series, and for series without a model, which get their first
-    one whatever the policy.  Rows too late for a state are kept beside the
-    snapshot (``Registry.late``).  ``mark`` names the batch in the snapshot.
+    Only the models of the batch are read, and only their rows are written.  ``history`` returns series_id, ts, value
+    with the batch included; it is read for breached series, and for series without a model, which get their first
+    one whatever the policy.  Rows too late for a state are kept beside it (``Registry.late``).  ``mark`` names the
+    batch in the state.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
-    old = registry.read()
-    mine = Registry._key(model_type, table, date_column, value_column)
-    active = cut(old.active().where(mine))
+    named = model_id(F.lit(model_type), F.lit(table), F.lit(date_column), F.lit(value_column), F.col("series_id"))
+    touched = cut(batch.select("series_id").distinct().withColumn("model_id", named))
+    old = registry.read(series=touched)
+    active = cut(old.active())
+    around = cut(old.vertices)
     fresh, late = split_late(batch, active)
-    states = cut(advance_states(fresh, active, old.vertices))
+    states = cut(advance_states(fresh, active, around))
     stale = cut(breached(states, policy, MARGINS[model_type]))
 
     centres = states.where(F.col("vertex_id") == X.CENTRE).select(
         "arima_id", F.col("state").alias("new_state"), "new_last_ts"
     )
-    stats = old.stats.join(centres, "arima_id", "left").select(
+    stats = active.join(centres, "arima_id").select(
         *[
-            F.coalesce("new_state", "state").alias("state")
+            F.col("new_state").alias("state")
             if c == "state"
-            else F.coalesce("new_last_ts", "last_ts").alias("last_ts")
+            else F.col("new_last_ts").alias("last_ts")
             if c == "last_ts"
             else c
             for c in old.stats.columns
         ]
     )
     moved = states.where(F.col("vertex_id") != X.CENTRE).select("arima_id", "vertex_id", F.col("state").alias("new_state"))
-    vertices = old.vertices.join(moved, ["arima_id", "vertex_id"], "left").select(
-        *[F.coalesce("new_state", "state").alias("state") if c == "state" else c for c in old.vertices.columns]
+    vertices = around.join(moved, ["arima_id", "vertex_id"]).select(
+        *[F.col("new_state").alias("state") if c == "state" else c for c in around.columns]
     )
-    new = Snapshot(old.models, stats, vertices)
-    unseen = batch.select("series_id").distinct().join(active.select("series_id"), "series_id", "left_anti")
+    models = old.models.join(stats.select("model_id"), "model_id", "left_semi")
+    new = Snapshot(models, stats, vertices)
+    unseen = touched.select("series_id").join(active.select("series_id"), "series_id", "left_anti")
     wanted = cut(stale.select("series_id").unionByName(unseen))
     if not wanted.isEmpty():
         rows = attach(history().dropDuplicates(["series_id", "ts"]), wanted, ["series_id"])
-        new = merge(new, *train(rows, model_type, table, date_column, value_column))
-    return registry.read(registry.write(new, version, mark, late.select("series_id", "ts", "value")))
+        trained = train(rows, model_type, table, date_column, value_column)
+        # retired rows are those after this batch; models that are refitted here bring their own
+        after = Snapshot(old.models, cut(_over(old.stats, stats)), around)
+        fitted = changes(after, *trained)
+        again = trained[0].select("model_id")
+        gone = stats.join(again, "model_id", "left_semi").select("arima_id")
+        new = Snapshot(
+            models.join(again, "model_id", "left_anti").unionByName(fitted.models),
+            stats.join(again, "model_id", "left_anti").unionByName(fitted.stats),
+            vertices.join(gone, "arima_id", "left_anti").unionByName(fitted.vertices),
+        )
+    return registry.read(registry.append(new, None, mark, late.select("series_id", "ts", "value"), version))
+
+
+def _over(old, new):
+    """Rows of ``old`` with those of ``new`` in the place of the ones with their keys."""
+    return old.join(new.select("arima_id"), "arima_id", "left_anti").unionByName(new)
 
 
 def on_insert(
@@ -129,8 +147,8 @@ def on_insert(
 ):
     """Stream of appended files that keeps the registered models up to date.
 
-    A snapshot carries the ids of the stream and of its batch, so a batch that is
-    run again after a failure finds its snapshot, whoever else wrote to the
+    A state carries the ids of the stream and of its newest batch, so a batch that is
+    run again after a failure finds itself there, whoever else wrote to the
     registry in between.
     """
 

@@ -11,7 +11,7 @@ from foreloom.operators import simplex as X
 from foreloom.operators.trees import GradientBoosting, Node, Split, Tree
 from foreloom.plans.packed import pack
 from foreloom.session import cut
-from foreloom.sources.registry import MODELS, Registry, Snapshot, merge
+from foreloom.sources.registry import Registry, Snapshot, changes
 from foreloom.streaming import incremental as I
 from foreloom.suite import query
 from foreloom.suite.series import DAILY, daily, fold_sql, forecast_sql, hourly, users
@@ -80,7 +80,7 @@ def _(t):
     """The active row after a second version was stored; the first one stays, inactive."""
     registry = stored(t)
     old = registry.read()
-    registry.write(merge(old, old.models, old.stats, old.vertices))
+    registry.append(changes(old, old.models, old.stats, old.vertices))
     snap = registry.read()
     n = snap.stats.groupBy("model_id").agg(F.count("*").cast("int").alias("versions"))
     return snap.active().join(n, "model_id").select("series_id", "version", "is_active", "versions")

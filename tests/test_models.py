@@ -17,7 +17,7 @@ from foreloom.operators import simplex as X
 from foreloom.operators import stats as St
 from foreloom.plans.packed import pack
 from foreloom.sources.files import generate_series_table
-from foreloom.sources.registry import Registry
+from foreloom.sources.registry import Conflict, Registry, Snapshot
 from foreloom.streaming import incremental as I
 
 BASIC = [10.0, 10.5, 10.8, 11.2, 11.5, 11.7, 11.9]
@@ -302,7 +302,7 @@ def test_life_cycle_and_outlier(spark, basic, tmp_path):
     assert after["arima_id"] != before and after["last_ts"] == dt.datetime(2023, 1, 8)
     assert snap.stats.where("is_active").count() == 1 and snap.stats.count() == 2
     # the row that came too late is set aside, the same batch again finds its snapshot
-    assert [(r["value"], r["version"]) for r in registry.late().collect()] == [(1.0, version)]
+    assert [r["value"] for r in registry.late().collect()] == [1.0]
     assert registry.write(snap, version) == version
     # a batch is known by its name, not by the number that another writer may have taken
     registry.write(snap, None, "stream-0")
@@ -314,6 +314,45 @@ def test_life_cycle_and_outlier(spark, basic, tmp_path):
     assert registry.remove_forecast(*key) and not registry.remove_forecast(*key)
 
 
+def test_registry_writes_what_a_batch_changes(spark, tmp_path):
+    """Forty models, batches that touch one: runs stay few and small, and the state is that of all batches."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"s{k}", start + dt.timedelta(hours=t), float((k * 7 + t * t) % 13)) for k in range(40) for t in range(12)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    packed = pack(df.where("ts < timestamp_ntz'2024-01-01 06:00:00'"), ["series_id"])
+    models = C.one_model(packed, [0.4], [0.3], 1.0, 0)
+    states = X.initial_states(packed, models)
+    ids = packed.frame.groupBy("series_id").agg(F.max("last_ts").alias("last_ts")).withColumn(
+        "model_id", F.xxhash64(F.lit("autoarima"), F.lit("t"), F.lit("ts"), F.lit("value"), "series_id")
+    ).withColumn("arima_id", F.xxhash64("model_id", F.lit(0)))
+    joined = states.join(ids, "series_id")
+    names = ids.select("model_id", F.lit("autoarima").alias("model_type"), F.lit("t").alias("input_table"), F.lit("ts").alias("date_column"), F.lit("value").alias("value_column"), "series_id")
+    stats = joined.where("vertex_id = 0").select("arima_id", "model_id", F.lit(0).alias("version"), "phi", "theta", "d", "c", F.lit(False).alias("use_log"), F.lit(True).alias("is_active"), "last_ts", "state")
+    around = joined.where("vertex_id > 0").select("arima_id", "vertex_id", "phi", "theta", "state")
+    registry = Registry(spark, str(tmp_path / "log"))
+    registry.write(Snapshot(names, stats, around))
+    key = ("autoarima", "t", "ts", "value")
+    for n, t in enumerate(range(6, 12)):
+        late = spark.createDataFrame([("s4", start, -1.0)], df.schema)
+        batch = df.where((F.hour("ts") == t) & F.col("series_id").isin("s3", "s4")).unionByName(late)
+        I.process_batch(batch, registry, None, lambda: df, *key, "fixed", f"feed-{n}")
+        runs = registry._head()[1]["runs"]
+        assert runs[0]["rows"] == 40 and sum(r["rows"] for r in runs[1:]) <= 6 and len(runs) <= 3
+    assert len(registry.versions()) <= 5 and registry.holds("feed-5") and registry.holds("feed-2") and not registry.holds("feed-6")
+    assert registry.late().count() == 6
+    got = {r["series_id"]: r for r in registry.read().active().collect()}
+    assert len(got) == 40 and got["s3"]["last_ts"] == start + dt.timedelta(hours=11) and got["s5"]["last_ts"] == start + dt.timedelta(hours=5)
+    whole = {r["series_id"]: r for r in C.fold_states(pack(df, ["series_id"]), models, []).collect()}
+    assert got["s3"]["state"]["css"] == pytest.approx(whole["s3"]["state"]["css"], rel=1e-12)
+    assert registry.read().vertices.count() == 40 * 3
+    with pytest.raises(Conflict):
+        registry._commit(registry.versions()[-1], {"runs": [], "marks": {}, "late": None})
+    one = names.where("series_id = 's5'")
+    registry.append(Snapshot(*[p.limit(0) for p in (names, stats, around)]), one)
+    assert registry.read().models.count() == 39 and registry.read().vertices.count() == 39 * 3
+    assert registry.remove_forecast(*key) and registry.read().stats.count() == 0
+
+
 def test_copies_are_numbered_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "COPIES", 3)
     df = spark.createDataFrame([("a",)] * 8 + [("b",)] * 2 + [(None,)], "k string")
