@@ -70,6 +70,28 @@ def test_digest_index_knows_earlier_batches(spark, docs, tmp_path):
     assert out == {7: (7, False), 8: (8, True)}
 
 
+def test_a_batch_run_again_gives_the_same_answer(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    answer = lambda df, name: sorted(map(tuple, index.resolve(df, batch=name).collect()))
+    one, two = rows((1, "a"), (2, "b"), (3, "a  ")), rows((4, "b"), (5, "c"), (6, None))
+    first = answer(one, "one")
+    assert [r[3] for r in first] == [True, True, True] and answer(one, "one") == first
+    then = answer(two, "two")
+    assert [(r[0], r[1], r[3]) for r in then] == [(4, 2, False), (5, 5, True), (6, 6, True)]
+    assert answer(two, "two") == then and answer(one, "one") == first
+    assert index.open().count() == index.open().select("digest").distinct().count() == 5
+    assert [r[3] for r in answer(one, "another")] == [False, False, False]
+
+
+def test_batches_of_one_table(docs, empty):
+    want = sorted(map(repr, exact_dedup.dedup(docs).collect()))
+    for n in (2, 5):
+        got = exact_dedup.dedup(docs, batches=n)
+        assert sorted(map(repr, got.collect())) == want
+    assert exact_dedup.dedup(empty, batches=2).count() == 0
+
+
 def sets(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
@@ -179,6 +201,12 @@ def test_lines(docs, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_short_texts_are_one_window(spark):
+    rows = [(1, "a\nb"), (2, "a\nb"), (3, "a"), (4, "a"), (5, "x\na\nb"), (6, " "), (7, " "), (8, "a\nb\nc"), (9, "x\na\nb\nc")]
+    out = {r.doc_id: (r.text, r.n_lines) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ("a\nb", 2), 2: ("", 2), 3: ("a", 1), 4: ("", 1), 5: ("x\na\nb", 3), 6: (" ", 1), 7: (" ", 1), 8: ("a\nb\nc", 3), 9: ("", 4)}
+
+
 def test_repeated_passage_goes_once(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "q\nq\nq\nq\nq")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()} == {1: "a\nb\nc\nd", 2: "x\ny", 3: "q\nq\nq"}
