@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -293,14 +294,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     """
     found = sentences(docs, labels, k, learn, doc_id, text, label)
     per_doc = found.groupBy("doc_id", "label").agg(F.array_distinct(F.flatten(F.collect_list("units"))).alias("units"))
-    table = per_doc.orderBy("doc_id").toArrow()  # bounded by toxic + clean documents
-    y = np.array(table.column("label").to_pylist(), int)
+
+    def run(batches):
+        batches = list(batches)
+        # in the order of ids, however tasks delivered them
+        table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("label", "ascending")]) if batches else None
+        model = learned(table, k)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the rows of the sample, at most toxic + clean documents, meet in one task; only the model reaches the driver
+    told = per_doc.select("doc_id", "label", "units").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(told["model"]) if told else learned(None, k)
+
+
+def learned(table: pa.Table | None, k: Kernel) -> Model:
+    """The fit itself, on the sample's (label, units) in the order of ids."""
+    y = np.array(table.column("label").to_pylist(), int) if table else np.zeros(0, int)
     low = -1.5
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(k, np.zeros(BASE**3, np.float32), 0.0, [], np.zeros(0), 0.0, 0.0, np.array([0.0] * (k.tops + 1) + [np.log(share / (1 - share))]), low)
-    flat, ends = table.column("units").combine_chunks(), None
+    flat = table.column("units").combine_chunks()
     ends = flat.offsets.to_numpy()
     coded = flat.values.dictionary_encode()
     vocabulary, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -391,6 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, k: Kernel = Kernel(), doc_id=
     score = np.concatenate([model.unit_scores(list(names[i : i + 20_000])) for i in range(0, len(names), 20_000)])
     tops = np.array([model.tops(list(score[at[ends[i] : ends[i + 1]]])) for i in range(len(y))])
     model.top = _logistic(tops, y)
+    del model._held  # what workers make again is not sent to them
     return model
 
 
