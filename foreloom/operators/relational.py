@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -77,6 +78,42 @@ def materialize(df: DataFrame, mode: str, name: str | None = None):
     raise ValueError(f"unknown mode {mode}")
 
 
+def recursive_steps(start: DataFrame, steps: DataFrame, keys: Sequence[str], at: str, values: dict[str, str]) -> DataFrame:
+    """Rows of a recursion along ordinals: keys, ``at`` and ``values``, written once.
+
+    ``start`` has the first rows.  Each turn joins the rows of the last one with the row of ``steps`` that has their keys
+    and the next ordinal; ``values`` are SQL expressions over ``f`` (the row so far) and ``s`` (the step).  A turn takes a
+    join of all groups, so that the number of turns is the length of the longest group: for long series the chunked
+    evaluations of ``foreloom.operators.css`` are the better way.
+    """
+    spark = steps.sparkSession
+    mark = uuid.uuid4().hex
+    names = [*keys, at, *values]
+    start.select(*names).createOrReplaceTempView(f"start_{mark}")
+    steps.createOrReplaceTempView(f"steps_{mark}")
+    longest = steps.agg(F.max(at) - F.min(at)).first()[0] or 0
+    limits = {"spark.sql.cteRecursionLevelLimit": str(longest + 3), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k) for k in limits}
+    same = " AND ".join(f"s.`{k}` = f.`{k}`" for k in keys) or "TRUE"
+    moved = ", ".join([*[f"s.`{k}`" for k in keys], f"s.`{at}`", *[f"{v} AS `{n}`" for n, v in values.items()]])
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        return cut(
+            spark.sql(
+                f"""WITH RECURSIVE f({", ".join(f"`{n}`" for n in names)}) AS (
+                      SELECT * FROM start_{mark}
+                      UNION ALL SELECT {moved} FROM f JOIN steps_{mark} s ON {same} AND s.`{at}` = f.`{at}` + 1)
+                    SELECT * FROM f"""
+            )
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.catalog.dropTempView(f"start_{mark}")
+        spark.catalog.dropTempView(f"steps_{mark}")
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 

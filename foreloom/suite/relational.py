@@ -326,6 +326,26 @@ def _(t):
     return replace_by_dictionary(part, "p_brand", dictionary(part, "p_brand"))
 
 
+@query(
+    "join_recursive_step",
+    """WITH RECURSIVE u AS (SELECT event_type AS k, DATE_TRUNC('day', ts) AS ts, AVG(value) AS y,
+                                ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY DATE_TRUNC('day', ts)) - 1 AS i
+                         FROM events GROUP BY event_type, DATE_TRUNC('day', ts)),
+       f AS (SELECT k, i, y - 300.0 AS e, CAST(0 AS DOUBLE) AS css FROM u WHERE i = 0
+             UNION ALL
+             SELECT u.k, u.i, u.y - 300.0 - 0.3 * f.e, f.css + f.e * f.e FROM f JOIN u ON u.k = f.k AND u.i = f.i + 1)
+       SELECT k, i, ROUND(e, 6) AS e, ROUND(css, 4) AS css FROM f""",
+)
+def _(t):
+    """Residuals of every day, each from the row of the day before, by a recursive query."""
+    day = F.date_trunc("day", "ts").alias("ts")
+    rows = O.positions(t.events.groupBy(F.col("event_type").alias("k"), day).agg(F.avg("value").alias("y")), ["k"], ["ts"], "i")
+    rows = rows.select("k", "i", "y")
+    first = rows.where("i = 0").select("k", "i", (F.col("y") - 300.0).alias("e"), F.lit(0.0).alias("css"))
+    out = R.recursive_steps(first, rows, ["k"], "i", {"e": "s.y - 300D - 0.3D * f.e", "css": "f.css + f.e * f.e"})
+    return out.select("k", "i", F.round("e", 6).alias("e"), F.round("css", 4).alias("css"))
+
+
 # -- aggregates ---------------------------------------------------------------
 
 

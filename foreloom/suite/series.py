@@ -467,7 +467,20 @@ def _(t):
     return rounded(S.css_loss(pack(users(t), ["k"]), [0.4], [0.3], 0.0, 1, warmup="none"))
 
 
-@query("css_gradient")
+# derivatives of the residuals run along with them: each is driven by what its parameter multiplies
+@query(
+    "css_gradient",
+    f"""WITH RECURSIVE {USERS}, w AS (SELECT k, i, y, LAG(y) OVER (PARTITION BY k ORDER BY i) AS y1 FROM u),
+        f AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS dp, CAST(0 AS DOUBLE) AS dt,
+                     CAST(0 AS DOUBLE) AS dc, CAST(0 AS DOUBLE) AS css, CAST(0 AS DOUBLE) AS gp, CAST(0 AS DOUBLE) AS gt, CAST(0 AS DOUBLE) AS gc FROM w
+              UNION ALL
+              SELECT k, i, n, p, t, c, css + n * n, gp + 2 * n * p, gt + 2 * n * t, gc + 2 * n * c FROM (
+                SELECT f.k, w.i, w.y - 2.0 - 0.5 * w.y1 - 0.3 * f.e AS n, -w.y1 - 0.3 * f.dp AS p, -f.e - 0.3 * f.dt AS t,
+                       -1.0 - 0.3 * f.dc AS c, f.css, f.gp, f.gt, f.gc
+                FROM f JOIN w ON w.k = f.k AND w.i = f.i + 1))
+        SELECT k, ROUND(ARG_MAX(css, i), 3) AS css, ROUND(ARG_MAX(gp, i), 2) AS d_phi, ROUND(ARG_MAX(gt, i), 2) AS d_theta, ROUND(ARG_MAX(gc, i), 2) AS d_c
+        FROM f GROUP BY k""",
+)
 def _(t):
     """Loss and gradient of a fixed ARMA(1,1) with constant for every user."""
     packed = pack(users(t), ["k"])
@@ -480,7 +493,7 @@ def _(t):
         F.array(F.lit(0.5), F.lit(0.3), F.lit(2.0)).alias("x"),
     )
     out = S.loss_and_gradient(packed, points, [])
-    return out.select("k", "css", *[F.col("grad")[i].alias(n) for i, n in enumerate(["d_phi", "d_theta", "d_c"])])
+    return out.select("k", F.round("css", 3).alias("css"), *[F.round(F.col("grad")[i], 2).alias(n) for i, n in enumerate(["d_phi", "d_theta", "d_c"])])
 
 
 # -- simplex ------------------------------------------------------------------
