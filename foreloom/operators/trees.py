@@ -23,10 +23,10 @@ from foreloom.operators.joingraph import CAT, LCAT, NUM, JoinGraph, JoinGraphErr
 from foreloom.plans.joins import attach
 from foreloom.session import broadcast_rows, cut, fits, group_rows, planned_once
 
-RESERVED = ("s", "c", "rowid", "tree", "node", "rel", "feat", "kind", "num", "cat")
+RESERVED = ("s", "c", "rowid", "tree", "node", "nodes", "rel", "feat", "kind", "num", "cat")
 GROWTHS = ("bestfirst", "depthwise", "levelwise")
-# a set split lists its categories in the model
-MAX_SET = 10_000
+# a set split lists up to so many categories in the model; longer sets stay a table, which rows are joined with
+MAX_LISTED = 1_000
 
 
 def number_text(value: float) -> str:
@@ -41,11 +41,20 @@ class Split:
     feature: str
     kind: str
     value: object
+    # the categories of a long set, in place of ``value``: one column __cat
+    table: DataFrame | None = None
+
+    @property
+    def flag(self) -> str:
+        """Column that says whether a row's category is in the table."""
+        return f"__in_{id(self)}"
 
     def condition(self, column: Column) -> Column:
         """True for rows that go left; rows with a missing value go right unless the split is on missing."""
         if self.kind == P.NULL_SPLIT:
             return column.isNull()
+        if self.table is not None:
+            return F.coalesce(F.col(self.flag), F.lit(False))
         if self.kind == NUM:
             test = column.cast("double") <= F.lit(float(self.value))
         elif self.kind == CAT:
@@ -60,6 +69,8 @@ class Split:
 
         if self.kind == P.NULL_SPLIT:
             return f"{name} IS NULL"
+        if self.table is not None:
+            raise ValueError(f"the left set of {name} is too long for SQL text; predict with the model instead")
         if self.kind == NUM:
             return f"{name} <= {number_text(self.value)}"
         if self.kind == CAT:
@@ -67,6 +78,15 @@ class Split:
         return f"CAST({name} AS VARCHAR(4000)) IN ({', '.join(text(v) for v in self.value)})"
 
 
+def flagged(rows: DataFrame, splits: Sequence[Split], name_of) -> DataFrame:
+    """Rows with the flags of splits on long sets; ``name_of`` gives the column that a split reads."""
+    for split in splits:
+        if split.table is not None:
+            lookup = split.table.select("__cat", F.lit(True).alias(split.flag))
+            rows = attach(rows.withColumn("__cat", F.col(f"`{name_of(split)}`").cast("string")), lookup, ["__cat"], "left").drop("__cat")
+    return rows
+
+
 @dataclass
 class Node:
     number: int
@@ -217,27 +237,30 @@ class DummyModel:
         From a graph only the features that the model uses are joined to the
         fact table, and only relations that hold one of them.
         """
+        every = [s for tree in self.trees for s in tree.splits()]
         if isinstance(data, DataFrame):
-            return data.withColumn(name, self.to_column())
-        fact = data.target_relation
-        if self.restored:
-            raise JoinGraphError("predict from a table: reserved names were renamed in training")
-        used = self.used_features()
-        facts = data.relations[fact].frame.columns
+            return flagged(data, every, self.original).select("*", self.to_column().alias(name)).select(*[F.col(f"`{c}`") for c in data.columns], name)
+        # names that clash are changed as they were in training, and changed back
+        again = DummyModel()
+        graph = again._prepare(data, True, None)
+        fact = graph.target_relation
+        used = self.used_features(working=True)
+        facts = graph.relations[fact].frame.columns
         used[fact] = list(facts)
-        joined = data.full_join(used)
+        joined = flagged(graph.full_join(used), every, lambda s: f"{s.relation}__{s.feature}")
         value = self.to_column(qualified=True).alias(name)
-        return joined.select(*[F.col(f"{fact}__{c}").alias(c) for c in facts], value)
+        old = again.restored.get(fact, {})
+        return joined.select(*[F.col(f"{fact}__{c}").alias(old.get(c, c)) for c in facts], value)
 
     def rmse(self, data: DataFrame, target: str | None = None) -> DataFrame:
         """One row: root of the mean squared error on a table."""
         target = target or self.restored.get(self.graph.target_relation, {}).get(self.graph.target, self.graph.target)
-        error = F.col(target) - self.to_column()
-        return data.agg(F.sqrt(F.avg(F.pow(error, F.lit(2.0)))).alias("rmse"))
+        error = F.col(target) - F.col("__predicted")
+        return self.predict(data, "__predicted").agg(F.sqrt(F.avg(F.pow(error, F.lit(2.0)))).alias("rmse"))
 
     def sse(self, data: DataFrame, target: str) -> DataFrame:
-        error = F.col(target) - self.to_column()
-        return data.agg(F.sum(F.pow(error, F.lit(2.0))).alias("sse"))
+        error = F.col(target) - F.col("__predicted")
+        return self.predict(data, "__predicted").agg(F.sum(F.pow(error, F.lit(2.0))).alias("sse"))
 
 
 class DecisionTree(DummyModel):
@@ -323,7 +346,8 @@ class DecisionTree(DummyModel):
             fact = work.target_relation
             used = self.used_features(working=True)
             mine = list(dict.fromkeys([*used.get(fact, []), *work.useful(fact), work.target]))
-            joined = work.full_join({**used, fact: mine})
+            every = [s for tree in self.trees for s in tree.splits()]
+            joined = flagged(work.full_join({**used, fact: mine}), every, lambda s: f"{s.relation}__{s.feature}")
             left = F.col(f"{fact}__{work.target}").cast("double") - self.to_column(qualified=True)
             facts = joined.select(
                 *[F.col(f"{fact}__{c}").alias(c) for c in work.useful(fact)],
@@ -352,10 +376,6 @@ class DecisionTree(DummyModel):
                 continue
             row = r.frame.agg(*[F.approx_count_distinct(f).alias(f) for f in ordered]).first()
             self._long = self._long or max(row[f] for f in ordered) > bound * 0.9
-        for n, r in work.relations.items():
-            for f, kind in r.features.items():
-                if kind == LCAT and not fits(r.frame.select(f).distinct(), MAX_SET):
-                    raise JoinGraphError(f"{n}.{f} has too many values for set splits; declare it as CAT")
 
     def _values(self, work: JoinGraph, facts: DataFrame) -> DataFrame:
         """Sums per (tree, node, relation, feature, value)."""
@@ -380,11 +400,7 @@ class DecisionTree(DummyModel):
                 break
             rows = [(t, n, float(forest[t][n].s), float(forest[t][n].c)) for t, n in active]
             totals = spark.createDataFrame(rows, "tree int, node long, total_s double, total_c double")
-            current = facts
-            if depth:
-                wanted = F.broadcast(totals.select("tree", "node"))
-                current = facts.join(wanted, ["tree", "node"], "left_semi")
-            values = self._values(work, current)
+            values = self._values(work, self._open(facts, totals if depth else None))
             # the running sums over slices read the values several times, and the left sets must be cut from the
             # very sums that chose the split: sums of doubles differ in the last bit from run to run
             values = cut(values) if self._long or self._has_sets else values
@@ -398,8 +414,9 @@ class DecisionTree(DummyModel):
                     continue
                 name = names[b["rel"]]
                 feature = list(work.relations[name].features)[b["feat"]]
-                value = {NUM: b["num"], CAT: b["cat"], LCAT: sets.get((b["tree"], b["node"]))}.get(b["kind"])
-                node.split, node.gain = Split(name, feature, b["kind"], value), gain
+                listed, table = sets.get((b["tree"], b["node"]), (None, None))
+                value = {NUM: b["num"], CAT: b["cat"], LCAT: listed}.get(b["kind"])
+                node.split, node.gain = Split(name, feature, b["kind"], value, table), gain
                 parent = forest[b["tree"]].get(b["node"] // 2)
                 node.reach = min(gain, parent.reach if parent else float("inf"))
                 left, right = node.children
@@ -419,18 +436,32 @@ class DecisionTree(DummyModel):
         self._held = held
         return trees, facts
 
+    def _open(self, facts: DataFrame, totals: DataFrame | None) -> DataFrame:
+        """Fact rows with their tree and node, those of the nodes in ``totals`` where it is given."""
+        return facts if totals is None else facts.join(F.broadcast(totals.select("tree", "node")), ["tree", "node"], "left_semi")
+
     def _sets(self, values: DataFrame, best: list) -> dict:
+        """Left sets of the chosen prefix splits: (categories, None), or (None, table) for a long one."""
         chosen = [b for b in best if b["kind"] == LCAT]
         if not chosen:
             return {}
         schema = "tree int, node long, rel int, feat int, place double, cat string"
         rows = [(b["tree"], b["node"], b["rel"], b["feat"], b["place"], b["cat"]) for b in chosen]
         picked = values.sparkSession.createDataFrame(rows, schema)
+        left = cut(P.left_categories(values, picked))
         out: dict = {}
-        # bounded: LCAT features were checked to have at most MAX_SET values
-        for r in P.left_categories(values, picked).collect():
-            out.setdefault((r["tree"], r["node"]), []).append(r["cat"])
-        return {k: sorted(v) for k, v in out.items()}
+        sizes = {(r["tree"], r["node"]): r["n"] for r in left.groupBy("tree", "node").agg(F.count("*").alias("n")).collect()}
+        brief = [k for k, n in sizes.items() if n <= MAX_LISTED]
+        if brief:
+            wanted = values.sparkSession.createDataFrame(brief, "tree int, node long")
+            for r in left.join(F.broadcast(wanted), ["tree", "node"], "left_semi").collect():  # at most MAX_LISTED a node
+                out.setdefault((r["tree"], r["node"]), ([], None))[0].append(r["cat"])
+        for t, n in sizes:
+            if (t, n) in out:
+                out[t, n] = (sorted(out[t, n][0]), None)
+            else:
+                out[t, n] = (None, left.where((F.col("tree") == t) & (F.col("node") == n)).select(F.col("cat").alias("__cat")))
+        return out
 
     # -- which splits are kept ------------------------------------------------
 
@@ -475,6 +506,8 @@ class DecisionTree(DummyModel):
                 branches.setdefault(head, {}).setdefault(split.relation, []).append((t, n, split))
         shuffled = False
         columns = facts.columns
+        own = [forest[t][n].split for t, n in tests]
+        facts = flagged(facts, own, lambda split: split.feature)
         for head, by_relation in branches.items():
             flags: list[str] = []
             lookup = self._flags(work, head, None, by_relation, flags)
@@ -487,23 +520,27 @@ class DecisionTree(DummyModel):
             for f in flags:
                 t, n = (int(v) for v in f.split("_")[-2:])
                 tests[t, n] = F.coalesce(F.col(f), F.lit(False))
-        target = F.col("node")
+        return self._placed(facts, tests).select(*columns), shuffled
+
+    def _placed(self, facts: DataFrame, tests: dict[tuple[int, int], Column]) -> DataFrame:
+        """Fact rows of the nodes tested move to a child."""
         expr = None
         for (t, n), test in tests.items():
             here = (F.col("tree") == t) & (F.col("node") == n)
             child = F.when(test, F.lit(2 * n).cast("long")).otherwise(F.lit(2 * n + 1).cast("long"))
             expr = F.when(here, child) if expr is None else expr.when(here, child)
-        return facts.withColumn("node", expr.otherwise(target)).select(*columns), shuffled
+        return facts.withColumn("node", expr.otherwise(F.col("node")))
 
     def _flags(self, work: JoinGraph, name: str, parent: str | None, by_relation, flags: list[str]) -> DataFrame:
         """Rows of a dimension with one flag per split on it or on relations behind it."""
         r = work.relations[name]
         own = []
-        for t, n, split in by_relation.get(name, []):
+        here = by_relation.get(name, [])
+        for t, n, split in here:
             flag = f"__left_{t}_{n}"
             own.append(split.condition(F.col(split.feature)).alias(flag))
             flags.append(flag)
-        rows = r.rows().select(*work.useful(name), *own)
+        rows = flagged(r.rows(), [split for _, _, split in here], lambda split: split.feature).select(*work.useful(name), *own)
         for other in work.neighbours(name, parent or work.target_relation):
             behind = [x for x in by_relation if x == other or other in work.path(x)]
             if not behind:
@@ -545,7 +582,7 @@ class GradientBoosting(DecisionTree):
     ):
         super().__init__(num_leaves, learning_rate, max_depth, subsample, growth, seed)
         if n_estimators < 1:
-            raise ValueError("n_estimators should be positive")
+            raise ValueError(f"{n_estimators} trees cannot be added")
         self.n_estimators = n_estimators
         self.incremental_estimators = incremental_estimators or n_estimators
 
@@ -557,7 +594,13 @@ class GradientBoosting(DecisionTree):
 
 
 class RandomForest(DecisionTree):
-    """Trees on row samples, averaged; all trees grow in the same queries."""
+    """Trees on row samples, averaged; all trees grow in the same queries.
+
+    A fact is one row that carries its node in every tree, 0 where it does not belong to a tree; rows of single trees
+    exist inside the partial sums only.  Whether a row belongs to a tree follows from its content, by a hash or by
+    ``members`` (a function from the number of a tree to a condition on the fact table), so that a partition that is
+    computed again has the same rows.
+    """
 
     def __init__(
         self,
@@ -567,27 +610,34 @@ class RandomForest(DecisionTree):
         n_estimators: int = 1,
         growth: str = "bestfirst",
         seed: int = 0,
+        members=None,
     ):
         super().__init__(num_leaves, 1.0, max_depth, subsample, growth, seed)
         if n_estimators < 1:
-            raise ValueError("n_estimators should be positive")
-        self.n_estimators = n_estimators
+            raise ValueError(f"a forest of {n_estimators} trees cannot be grown")
+        self.n_estimators, self.members = n_estimators, members
 
     def fit(self, graph, skip_check=False, where=None) -> "RandomForest":
         work = self._prepare(graph, skip_check, where)
         self._sizes(work)
-        facts = M.lift(work)
-        numbers = F.array(*[F.lit(i) for i in range(self.n_estimators)])
-        if self.subsample < 1:
-            drawn = F.array(*[F.when(F.rand(self.seed + i) < self.subsample, i) for i in range(self.n_estimators)])
-            numbers = F.array_compact(drawn)
-        facts = facts.withColumn("tree", F.explode(numbers)).persist()
-        totals = {r["tree"]: (r["s"], r["c"]) for r in M.semiring_sum(facts, ["tree"]).collect()}
-        constants = {t: s / c for t, (s, c) in totals.items()}
-        shift = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(constants.items()) for v in kv]), F.col("tree"))
-        lifted = facts.withColumns({"s": F.col("s") - shift, "node": F.lit(1).cast("long")})
-        grown, _ = self._grow(work, lifted, {t: (0.0, c) for t, (_, c) in totals.items()})
-        self.constant = sum(constants.values()) / len(constants)
+        columns = work.relations[work.target_relation].rows().columns
+
+        def member(i: int) -> Column:
+            if self.members is not None:
+                return self.members(i)
+            drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns], F.lit(self.seed + i)), F.lit(1_000_000))
+            return drawn < int(self.subsample * 1_000_000)
+
+        nodes = F.array(*[F.when(member(i), 1).otherwise(0).cast("long") for i in range(self.n_estimators)])
+        facts = M.lift(work, extra=[nodes.alias("nodes")]).persist()
+        self._constants: dict[int, float] = {}
+        totals = {r["tree"]: (r["s"], r["c"]) for r in M.semiring_sum(self._open(facts, None), ["tree"]).collect()}
+        if not totals:
+            facts.unpersist()
+            raise JoinGraphError("no tree of the forest has a row to train on")
+        self._constants = {t: s / c for t, (s, c) in totals.items()}
+        grown, _ = self._grow(work, facts, {t: (0.0, c) for t, (_, c) in totals.items()})
+        self.constant = sum(self._constants.values()) / len(self._constants)
         self.count = sum(c for _, c in totals.values())
         self.trees = [grown[t] for t in sorted(grown)]
         for tree in self.trees:
@@ -595,3 +645,23 @@ class RandomForest(DecisionTree):
         for old in (facts, *self._held):
             old.unpersist()
         return self
+
+    def _open(self, facts: DataFrame, totals: DataFrame | None) -> DataFrame:
+        rest = [c for c in facts.columns if c not in ("nodes", "s")]
+        rows = facts.select(*rest, "s", F.posexplode("nodes").alias("tree", "node")).where("node > 0")
+        if self._constants:
+            shift = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(self._constants.items()) for v in kv]), F.col("tree"))
+            rows = rows.withColumn("s", F.col("s") - shift)
+        return super()._open(rows, totals)
+
+    def _placed(self, facts: DataFrame, tests: dict[tuple[int, int], Column]) -> DataFrame:
+        moved = []
+        for t in range(self.n_estimators):
+            now = F.col("nodes")[t]
+            expr = None
+            for (tree, n), test in tests.items():
+                if tree == t:
+                    child = F.when(test, F.lit(2 * n).cast("long")).otherwise(F.lit(2 * n + 1).cast("long"))
+                    expr = F.when(now == n, child) if expr is None else expr.when(now == n, child)
+            moved.append(now if expr is None else expr.otherwise(now))
+        return facts.withColumn("nodes", F.array(*moved))

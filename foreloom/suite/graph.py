@@ -409,32 +409,89 @@ def _(t):
     return _predicted(DecisionTree(num_leaves=2, max_depth=1).fit(g, skip_check=True), g)
 
 
-@query("decision_tree_deep")
+def _stump(name: str, rows: str, value: str, where: str = "TRUE") -> str:
+    """CTE ``name``(v, ls, lc, ts, tc): the best cut of ``rows`` by v, and sums of ``value`` on its left and in all."""
+    return f"""{name} AS (
+      SELECT *, ls * ls / lc + (ts - ls) * (ts - ls) / (tc - lc) AS score FROM (
+        SELECT v, SUM(s) OVER (ORDER BY v) AS ls, SUM(c) OVER (ORDER BY v) AS lc, SUM(s) OVER () AS ts, SUM(c) OVER () AS tc
+        FROM (SELECT v, SUM({value}) AS s, COUNT(*) AS c FROM {rows} WHERE {where} GROUP BY 1))
+      WHERE lc < tc ORDER BY score DESC, v LIMIT 1)"""
+
+
+def _leaf(name: str, v: str = "j.v") -> str:
+    return f"CASE WHEN {v} <= {name}.v THEN {name}.ls / {name}.lc ELSE ({name}.ts - {name}.ls) / ({name}.tc - {name}.lc) END"
+
+
+_SIZED = "j AS (SELECT l_orderkey, l_linenumber, l_shipdate, CAST(p_size AS DOUBLE) AS v, l_extendedprice AS x FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_FINE = "l_orderkey, l_linenumber"
+
+
+@query(
+    "decision_tree_deep",
+    f"""WITH {_SIZED}, {_stump("b", "j", "x")},
+        l AS (SELECT j.v, x FROM j, b WHERE j.v <= b.v), {_stump("bl", "l", "x")},
+        r AS (SELECT j.v, x FROM j, b WHERE j.v > b.v), {_stump("br", "r", "x")}
+        SELECT {_FINE}, ROUND(CASE WHEN j.v <= b.v THEN {_leaf("bl")} ELSE {_leaf("br")} END, 6) AS prediction FROM j, b, bl, br""",
+)
 def _(t):
-    g = small_star(t)
-    return _predicted(DecisionTree(num_leaves=8, max_depth=3).fit(g, skip_check=True), g)
+    """Two levels on one dimension feature, four leaves."""
+    g = _lone(t, X=["p_size"])
+    return _predicted(DecisionTree(num_leaves=4, max_depth=2).fit(g, skip_check=True), g)
+
+
+@query(
+    "gradient_boosting",
+    f"""WITH {_SIZED}, m AS (SELECT AVG(x) AS a FROM j), j0 AS (SELECT j.*, x - a AS s0 FROM j, m), {_stump("b", "j0", "s0")},
+        j1 AS (SELECT j.*, s0 - 0.5 * ({_leaf("b")}) AS s1 FROM j0 j, b), {_stump("d", "j1", "s1")},
+        j2 AS (SELECT j.*, s1 - 0.5 * ({_leaf("d")}) AS s2 FROM j1 j, d), {_stump("e", "j2", "s2")}
+        SELECT {_FINE}, ROUND(a + 0.5 * ({_leaf("b")}) + 0.5 * ({_leaf("d")}) + 0.5 * ({_leaf("e")}), 6) AS prediction FROM j, m, b, d, e""",
+)
+def _(t):
+    """Three stumps, each on half of what the ones before explain."""
+    g = _lone(t, X=["p_size"])
+    return _predicted(GradientBoosting(num_leaves=2, max_depth=1, learning_rate=0.5, n_estimators=3).fit(g, skip_check=True), g)
 
 
-@query("gradient_boosting")
+@query("gradient_boosting_deep")
 def _(t):
     g = small_star(t)
     return _predicted(GradientBoosting(num_leaves=4, max_depth=2, learning_rate=0.5, n_estimators=3).fit(g, skip_check=True), g)
 
 
-@query("warm_start")
+@query(
+    "warm_start",
+    f"""WITH {_SIZED}, m AS (SELECT AVG(x) AS a FROM j), j0 AS (SELECT j.*, x - a AS s0 FROM j, m), {_stump("b", "j0", "s0")},
+        j1 AS (SELECT j.*, s0 - 0.5 * ({_leaf("b")}) AS s1 FROM j0 j, b), {_stump("d", "j1", "s1", "l_shipdate > TIMESTAMP '1998-01-01'")}
+        SELECT {_FINE}, ROUND(a + 0.5 * ({_leaf("b")}) + 0.5 * ({_leaf("d")}), 6) AS prediction FROM j, m, b, d""",
+)
 def _(t):
-    """Two trees on all rows, one more on the newer ones."""
-    g = small_star(t)
-    model = GradientBoosting(4, 0.5, 2, n_estimators=2, incremental_estimators=1).fit(g, skip_check=True)
+    """A tree on all rows, one more on the newer ones."""
+    g = _lone(t, X=["p_size"])
+    model = GradientBoosting(2, 0.5, 1, n_estimators=1, incremental_estimators=1).fit(g, skip_check=True)
     newer = F.col("l_shipdate") > F.lit("1998-01-01").cast("timestamp_ntz")
     return _predicted(model.fit(g, skip_check=True, warm_start=True, where=newer), g)
 
 
-@query("random_forest")
+def _drawn(i: int) -> str:
+    return f"(l_orderkey * 7919 + l_linenumber * 104729 + {i} * 15485) % 1000 < 500"
+
+
+def _forest_sql(trees: int) -> str:
+    parts = [f"WITH {_SIZED}"]
+    for i in range(trees):
+        parts.append(f"m{i} AS (SELECT AVG(x) AS a FROM j WHERE {_drawn(i)}), j{i} AS (SELECT j.*, x - a AS s FROM j, m{i} WHERE {_drawn(i)})")
+        parts.append(_stump(f"b{i}", f"j{i}", "s"))
+    value = " + ".join(f"m{i}.a + {_leaf(f'b{i}')}" for i in range(trees))
+    tables = ", ".join(f"m{i}, b{i}" for i in range(trees))
+    return f"{', '.join(parts)} SELECT {_FINE}, ROUND(({value}) / {trees}, 6) AS prediction FROM j, {tables}"
+
+
+@query("random_forest", _forest_sql(3))
 def _(t):
-    g = small_star(t)
-    model = RandomForest(num_leaves=4, max_depth=2, subsample=0.5, n_estimators=3, seed=5).fit(g, skip_check=True)
-    return _predicted(model, g)
+    """Three stumps on samples of the rows that arithmetic on the keys draws."""
+    g = _lone(t, X=["p_size"])
+    model = RandomForest(num_leaves=2, max_depth=1, subsample=0.5, n_estimators=3, members=lambda i: F.expr(_drawn(i)))
+    return _predicted(model.fit(g, skip_check=True), g)
 
 
 def fixed_tree(rate: float = 0.5) -> GradientBoosting:

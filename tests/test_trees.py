@@ -185,3 +185,48 @@ def test_messages_do_not_join_the_fact_table_with_its_dimensions(spark, folder):
     assert plan.index("Join") < plan.index("HashAggregate")
 
 
+
+
+def set_graph(spark, n):
+    """Facts with a text feature of ``n`` values, and a dimension with another."""
+    facts = spark.range(4 * n).select(
+        "id", (F.col("id") % n).cast("string").alias("code"), (F.col("id") % 97).alias("key"),
+        (F.pmod(F.col("id") * 7919, F.lit(1009)) + F.when(F.col("id") % n % 3 == 0, 500.0).otherwise(0.0)).alias("y"),
+    )
+    dim = spark.range(97).select(F.col("id").alias("key"), F.concat(F.lit("d"), F.pmod(F.col("id") * 31, F.lit(53))).alias("kind"))
+    g = JoinGraph().add_relation("facts", facts, categorical=["code"], y="y").add_relation("dim", dim, categorical=["kind"])
+    return g.add_join("facts", "dim", ["key"], ["key"])
+
+
+def test_long_sets_predict_as_listed_ones(spark, monkeypatch):
+    from foreloom.operators import trees as T
+
+    def predictions(listed):
+        monkeypatch.setattr(T, "MAX_LISTED", listed)
+        g = set_graph(spark, 60)
+        model = GradientBoosting(num_leaves=4, max_depth=2, learning_rate=0.5, n_estimators=2).fit(g)
+        splits = [s for t in model.trees for s in t.splits()]
+        warm = GradientBoosting(num_leaves=2, max_depth=1, n_estimators=1).fit(g)
+        warm.fit(g, warm_start=True)
+        joined = g.full_join()
+        names = {c.split("__")[1]: c for c in joined.columns}
+        flat = joined.select(*[F.col(names[c]).alias(c) for c in ("code", "kind", "y")])
+        of = lambda m: sorted((r["id"], round(r["prediction"], 6)) for r in m.predict(g).collect())
+        return splits, of(model), of(warm), model.rmse(flat).first()["rmse"], model
+
+    listed, tables = predictions(1000), predictions(3)
+    assert all(s.table is None for s in listed[0]) and any(s.table is not None for s in tables[0])
+    assert listed[1:3] == tables[1:3] and listed[3] == pytest.approx(tables[3], rel=1e-12)
+    assert "IN (" in listed[4].to_sql()
+    with pytest.raises(ValueError, match="too long"):
+        tables[4].to_sql()
+
+
+def test_fifty_thousand_categories(spark):
+    g = set_graph(spark, 50_000)
+    model = DecisionTree(num_leaves=2, max_depth=1).fit(g)
+    split = model.trees[0].nodes[1].split
+    assert split.feature == "code" and split.value is None and split.table.count() > 20_000
+    rows = model.predict(g)
+    means = rows.groupBy("prediction").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect()
+    assert len(means) == 2 and all(r["prediction"] == pytest.approx(r["m"], rel=1e-9) for r in means)
