@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreloom.session import broadcast_rows, fits
+from foreloom.session import broadcast_rows, cut, fits, group_rows
 
 SALTS = 64
 
@@ -42,18 +42,25 @@ def attach(
 ) -> DataFrame:
     """Join many rows with a lookup that has one row per key.
 
-    A lookup that was measured to be small is broadcast.  A larger one is
-    replicated over a fixed number of salts, and every row picks one salt from
-    its own content (or from the column ``spread``), so that a key holding a
-    third of the rows is spread over ``SALTS`` tasks.
+    A lookup that was measured to be small is broadcast.  With a larger one the keys of ``rows`` are counted: where none
+    has more rows than a task should hold, it is a plain join.  Otherwise only the lookup rows of these heavy keys are
+    copied over ``SALTS`` salts, and only rows of such keys pick one, from their own content (or from the column
+    ``spread``).  A heavy key has at least one in ``broadcast_rows`` of all rows, so that there are few of them.
     """
+    spark = rows.sparkSession
     if small is None:
-        small = fits(lookup, broadcast_rows(rows.sparkSession))
+        small = fits(lookup, broadcast_rows(spark))
     if small:
         return rows.join(F.broadcast(lookup), on, how)
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    least = max(group_rows(spark), -(-(sizes.agg(F.sum("__n")).first()[0] or 0) // broadcast_rows(spark)))
+    heavy = cut(sizes.where(F.col("__n") > least).select(*on, F.lit(True).alias("__heavy")))
+    if heavy.isEmpty():
+        return rows.join(lookup, on, how)
     others = [spread] if spread else [c for c in rows.columns if c not in on] or rows.columns
-    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    salted_lookup = lookup.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return salted_rows.join(salted_lookup, [*on, "__salt"], how).drop("__salt")
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
+    salted = null_safe_join(rows, F.broadcast(heavy), on, "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__heavy"), salt).otherwise(0)).drop("__heavy")
+    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = null_safe_join(lookup, F.broadcast(heavy), on, "left").withColumn("__salt", F.explode(copies)).drop("__heavy")
+    return salted.join(copied, [*on, "__salt"], how).drop("__salt")
