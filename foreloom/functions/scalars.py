@@ -70,38 +70,53 @@ def freq_to_interval(name: str) -> str:
     """Interval text of a frequency name such as ``10_minutes`` or ``half_hourly``."""
     *multiple, unit = name.split("_")
     if len(multiple) > 1 or unit not in FREQUENCY_UNITS:
-        raise ValueError(f"Invalid frequency string {name}.")
+        raise ValueError(f"no frequency of this name: {name}")
     base, count = FREQUENCY_UNITS[unit]
     factor = multiple[0] if multiple else "1"
     if factor == "half":
         if base == "month":
             if count % 2:
-                raise ValueError(f"Invalid frequency string {name}.")
+                raise ValueError(f"no frequency of this name: {name}")
             return f"{count // 2} months"
         return f"{UNIT_SECONDS[base] * count // 2} seconds" if base != "second" else "0.5 seconds"
     if not factor.isdigit():
-        raise ValueError(f"Invalid frequency string {name}.")
+        raise ValueError(f"no frequency of this name: {name}")
     return f"{int(factor) * count} {base}s"
 
 
-def freq_interval_column(freq: ColumnLike) -> Column:
-    """The same for a column of names: the step in seconds, NULL for calendar steps."""
+def _freq_parts(freq: ColumnLike) -> tuple[Column, Column, Column]:
+    """(factor, seconds of a unit, months of a unit) of a column of names; one of the units is NULL."""
     c = as_column(freq)
     parts = F.split(c, "_")
-    unit = F.element_at(parts, -1)
-    head = F.when(F.size(parts) == 2, parts[0])
-    factor = F.when(F.size(parts) == 1, F.lit(1.0)).when(head == "half", F.lit(0.5)).otherwise(
-        head.try_cast("double")
-    )
-    seconds = None
-    for name, (base, count) in FREQUENCY_UNITS.items():
-        if base == "month":
-            continue
-        value = F.lit(float(UNIT_SECONDS[base] * count))
-        seconds = F.when(unit == name, value) if seconds is None else seconds.when(unit == name, value)
+    unit, head = F.element_at(parts, -1), F.when(F.size(parts) == 2, parts[0])
+    factor = F.when(F.size(parts) == 1, F.lit(1.0)).when(head == "half", F.lit(0.5)).otherwise(head.try_cast("double"))
+    units = {n: float(count if base == "month" else UNIT_SECONDS[base] * count) for n, (base, count) in FREQUENCY_UNITS.items()}
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), unit)
+    calendar = unit.isin([n for n, (base, _) in FREQUENCY_UNITS.items() if base == "month"])
+    wrong = F.raise_error(F.concat(F.lit("no frequency of this name: "), c)).cast("double")
+    known = F.when(c.isNull(), F.lit(None).cast("double")).when(size.isNull() | factor.isNull() | (F.size(parts) > 2), wrong).otherwise(factor)
+    return known, F.when(~calendar, size), F.when(calendar, size)
+
+
+def freq_interval_column(freq: ColumnLike) -> Column:
+    """The step of a column of names in seconds, NULL for calendar steps; a name that is none is an error."""
+    factor, seconds, _ = _freq_parts(freq)
     return factor * seconds
 
 
+def freq_months_column(freq: ColumnLike) -> Column:
+    """The calendar step of a column of names in months, NULL for other steps; a name that is none is an error."""
+    factor, _, months = _freq_parts(freq)
+    return (factor * months).cast("int")
+
+
+def add_frequency(time: ColumnLike, freq: ColumnLike, steps: ColumnLike) -> Column:
+    """A time some steps of its frequency later, by the calendar where the step is one of months."""
+    t, n = as_column(time), as_column(steps)
+    later = t + F.make_dt_interval(secs=(freq_interval_column(freq) * n).cast("decimal(18,6)"))
+    return F.coalesce(t + F.make_ym_interval(months=(freq_months_column(freq) * n).cast("int")), later)
+
+
 def reverse_array(a: ColumnLike) -> Column:
     return F.coalesce(F.reverse(as_column(a)), F.array().cast("array<double>"))
 

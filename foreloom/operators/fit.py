@@ -56,7 +56,7 @@ def fit_candidates(
     false for a failed fit only.
     """
     if method not in (*GRADIENT_METHODS, *SIMPLEX_METHODS):
-        raise ValueError(f"Invalid optimiser provided: {method}")
+        raise ValueError(f"{method} is none of the search methods {(*GRADIENT_METHODS, *SIMPLEX_METHODS)}")
     ids = list(ids)
     wanted = candidates.select(*packed.keys, *ids, "p", "d", "q", "constant")
     if packed.long and packed.keys:

@@ -78,7 +78,7 @@ def forecast_array(
         raise ValueError("horizon must be positive")
     steps = F.sequence(F.lit(1), F.lit(horizon))
     value = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    short = F.raise_error(F.lit("forecast: not enough original values for integration"))
+    short = F.raise_error(F.lit("forecast: the state holds fewer levels than its differences need"))
     return F.when(F.size(levels) < d, short.cast("array<double>")).otherwise(value)
 
 

@@ -212,20 +212,21 @@ class JoinGraph:
                 raise JoinGraphError(f"incomplete dimension {name}: some keys of {parent} are missing there")
 
     def infer_features(self, name: str, exclude: Sequence[str] = (), few: int = 30) -> dict[str, str]:
-        """Kinds by type and number of distinct values, measured in one pass."""
+        """Kinds by type and exact number of distinct values, counted in one pass.
+
+        Numbers are numeric; every other type counts as its text, null values apart.
+        """
         frame = self.relations[name].frame
-        texts, out = [], {}
-        for f in frame.schema:
-            if f.name in exclude:
-                continue
-            if isinstance(f.dataType, T.NumericType):
-                out[f.name] = NUM
-            elif isinstance(f.dataType, T.StringType):
-                texts.append(f.name)
+        fields = [f for f in frame.schema if f.name not in exclude]
+        texts = [f.name for f in fields if not isinstance(f.dataType, T.NumericType)]
+        held = {}
         if texts:
-            row = frame.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
-            out.update({c: LCAT if row[c] <= few else CAT for c in texts})
-        return out
+            pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in texts])
+            values = frame.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
+            held = {r["feature"]: r["n"] for r in values.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+        return {
+            f.name: NUM if isinstance(f.dataType, T.NumericType) else LCAT if held.get(f.name, 0) <= few else CAT for f in fields
+        }
 
     # -- joins ----------------------------------------------------------------
 

@@ -56,7 +56,7 @@ def integrate(
     # d rows per series, so the group is bounded
     starts = initial.groupBy(*keys).agg(levels.alias("__start")) if keys else initial.agg(levels.alias("__start"))
     checked = F.when(F.size("__start") == d, F.col("__start")).otherwise(
-        F.raise_error(F.lit("integrate: number of initial values must match the differencing order"))
+        F.raise_error(F.lit("integrate: a series needs as many first levels as it was differenced"))
     )
     starts = starts.select(*keys, checked.alias("__start"))
     rows = diffs.select(*keys, order, F.col(value).alias("__w"))

@@ -144,5 +144,23 @@ def generate_series_table(spark: SparkSession, n: int, kind: str = "uniform", se
     raise ValueError(f"unknown kind {kind}")
 
 
+def generated_series(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str = "ar1_like", seed: int = 42) -> DataFrame:
+    """Series of made-up values as long as those of ``rows``: its columns, ``i`` (from 0 in each series) and ``made``.
+
+    The noise is arithmetic on the place, so that it is the same on every run and in every engine.
+    """
+    from foreloom.plans.ordered import positions
+
+    placed = positions(rows, list(keys), list(order), "i")
+    noise = F.pmod(F.col("i") * 7919 + seed, F.lit(1009)).cast("double") / 1009.0
+    if kind == "line":
+        return placed.withColumn("made", F.col("i").cast("double"))
+    if kind == "uniform":
+        return placed.withColumn("made", noise)
+    if kind == "ar1_like":
+        return placed.withColumn("made", 10.0 * F.pow(F.lit(0.8), F.pmod(F.col("i"), F.lit(10)).cast("double")) + 0.1 * noise)
+    raise ValueError(f"no series of kind {kind} is made")
+
+
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -291,7 +291,7 @@ class Registry:
     ) -> int:
         """Search a model per series, register it as the active one, and store its vertices."""
         if model_type not in MODEL_KINDS:
-            raise ValueError(f"{model_type} not supported, please try again")
+            raise ValueError(f"{model_type} is none of the kinds {MODEL_KINDS}")
         name = F.col(series).cast("string") if series else F.lit(table)
         rows = df.select(name.alias("series_id"), F.col(date_column).cast("timestamp_ntz").alias("ts"), F.col(value_column).cast("double").alias("value"))
         trained = train(rows, model_type, table, date_column, value_column)

@@ -29,20 +29,23 @@ def _encoding_pairs() -> tuple[str, str]:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped lines with their file and their place in it.
+    """Stripped lines with their place: the file, where Spark's split of it starts, and a number that grows in the split.
 
-    The line number is only used to order series; Spark reads a file in splits
-    and numbers grow with the split and the line inside it.
+    Places order the lines of any number of files, by the name of the file and then as they stand in it.
     """
     # one column of raw text: neither separator nor quote occurs in such files
     reader = spark.read.schema("line string").option("encoding", ENCODING)
     rows = reader.option("sep", "\u0001").option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    place = F.monotonically_increasing_id()
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")
+    )
     return rows.select(place.alias("place"), F.trim(F.translate("line", *_encoding_pairs())).alias("line")).where(F.col("line") != "")
 
 
 # Header words of the format with the kind of what follows them, and the words for true and false.
 HEADER_WORDS = {"frequency": str, "horizon": int, "missing": bool, "equallength": bool}
+# Longest header that is read.
+HEADER_LINES = 1_000
 TRUE_WORDS = ("y", "yes", "t", "true", "on", "1")
 FALSE_WORDS = ("n", "no", "f", "false", "off", "0")
 
@@ -62,8 +65,10 @@ def _value(text: str, kind: type):
 def read_tsf_meta(spark: SparkSession, path: str) -> dict:
     """Header of a file: ``attributes`` (name to type, in order) and the header words that it has."""
     lines = _lines(spark, path)
-    # header lines begin with an at sign; there are a handful of them
-    header = [r["line"][1:].split() for r in lines.where(F.col("line").startswith("@")).orderBy("place").collect()]
+    # header lines begin with an at sign; a handful of them, so that more are a sign of another kind of file
+    header = [r["line"][1:].split() for r in lines.where(F.col("line").startswith("@")).orderBy("place").limit(HEADER_LINES + 1).collect()]
+    if len(header) > HEADER_LINES:
+        raise SeriesFileError(f"more than {HEADER_LINES} lines begin with an at sign")
     words = [h[0] if h else "" for h in header]
     attributes = [h[1:] for h in header if h and h[0] == "attribute"]
     bad = [a for a in attributes if len(a) != 2 or a[1] not in TYPES]

@@ -8,7 +8,7 @@ from foreloom.functions import scalars as S
 from foreloom.functions import sql as SQL
 from foreloom.operators import preparation as P
 from foreloom.suite import query
-from foreloom.suite.series import USERS, users
+from foreloom.suite.series import USERS, forecast_sql, kpss_sql, users
 
 
 @query("log10p1", "SELECT event_id, ROUND(LOG10(value + 1), 9) AS v FROM events")
@@ -91,6 +91,18 @@ def _(t):
     return t.part.select("p_partkey", S.freq_interval_column(F.expr(_FREQ)).alias("seconds"))
 
 
+@query(
+    "date_add_frequency",
+    """SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN o_orderdate + to_months(3 * CAST(o_custkey % 7 AS INTEGER))
+              WHEN 1 THEN o_orderdate + to_months(12 * CAST(o_custkey % 7 AS INTEGER)) WHEN 2 THEN o_orderdate + to_minutes(30 * CAST(o_custkey % 7 AS BIGINT))
+              WHEN 3 THEN o_orderdate + to_days(7 * CAST(o_custkey % 7 AS INTEGER)) ELSE o_orderdate + to_months(CAST(o_custkey % 7 AS INTEGER)) END AS TIMESTAMP) AS later FROM orders""",
+)
+def _(t):
+    """Some steps of a named frequency later, months by the calendar."""
+    names = F.element_at(F.array(*[F.lit(n) for n in ("quarterly", "yearly", "half_hourly", "weekly", "monthly")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return t.orders.select("o_orderkey", S.add_frequency(F.col("o_orderdate"), names, F.col("o_custkey") % 7).alias("later"))
+
+
 _ARR = "[l_quantity, l_discount, l_tax, l_extendedprice]"
 
 
@@ -256,3 +268,33 @@ def _(t):
         """SELECT k, round(css_loss(vals, array(0.5D), CAST(array() AS ARRAY<DOUBLE>), 1, 0, 2.0D), 6) AS css,
                   CAST(size(arima_difference(vals, 1)) AS BIGINT) AS n FROM foreloom_packed"""
     )
+
+
+@query("sql_run_forecast", forecast_sql(1, 5))
+def _(t):
+    """Forecasts of all users from their states, by the table function."""
+    from foreloom.operators import css as S
+    from foreloom.plans.packed import pack
+
+    SQL.register(t.spark)
+    packed = pack(users(t), ["k"])
+    models = S.one_model(packed, [0.4, 0.1], [0.3, 0.2], 1.0, 1)
+    ends = packed.frame.groupBy("k").agg(F.max("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    models.join(S.fold_states(packed, models, []), "k").join(ends, "k").createOrReplaceTempView("foreloom_states")
+    return t.spark.sql(
+        """SELECT k, i AS step, round(forecast_value, 6) AS forecast_value, forecast_date
+           FROM foreloom_states, LATERAL run_forecast(last_ts, phi, theta, c, state, 5, INTERVAL '1 00:00:00' DAY TO SECOND)"""
+    )
+
+
+@query(
+    "sql_kpss",
+    kpss_sql(0, True) + " SELECT k, ROUND(eta / (n * n * lr), 6) AS kpss_val FROM v",
+)
+def _(t):
+    """Stationarity of every user's events, called from SQL text with the fixed number of lags."""
+    from foreloom.plans.packed import pack
+
+    SQL.register(t.spark)
+    pack(users(t), ["k"]).frame.createOrReplaceTempView("foreloom_packed")
+    return t.spark.sql("SELECT k, round(kpss(vals, CAST(greatest(1, floor(power(size(vals), 2D / 9D))) AS INT)), 6) AS kpss_val FROM foreloom_packed")

@@ -230,7 +230,12 @@ def _(t):
     return t.spark.read.option("header", True).schema("type string, seconds double").csv(path)
 
 
-@query("generate_series_table")
+@query(
+    "generate_series_table",
+    """SELECT event_id, i, ROUND(10.0 * POW(0.8, i % 10) + 0.1 * ((i * 7919 + 42) % 1009) / 1009.0, 9) AS made
+       FROM (SELECT event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i FROM events)""",
+)
 def _(t):
-    """As many synthetic rows as there are events."""
-    return S.generate_series_table(t.spark, t.events.count(), "random_walk")
+    """A made-up series in the place of every user's events."""
+    out = S.generated_series(t.events, ["user_id"], ["ts"])
+    return out.select("event_id", "i", F.round("made", 9).alias("made"))

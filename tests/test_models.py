@@ -143,7 +143,7 @@ def test_recorded_state_forecast(spark):
 
 
 def test_state_without_levels_is_an_error(spark):
-    with pytest.raises(Exception, match="not enough original values"):
+    with pytest.raises(Exception, match="fewer levels"):
         Fc.forecast_from_state(state_frame(spark, 1, []), ["k"], 4).collect()
 
 
@@ -364,3 +364,21 @@ def test_highest_score_with_ties_and_gaps(spark):
     rows = [("a", 1.0, 2), ("a", 3.0, 5), ("a", 3.0, 4), ("a", None, 0), ("b", None, 1), ("c", float("nan"), 1), ("c", 9.0, 0)]
     got = R.argmax_per_group(spark.createDataFrame(rows, "k string, score double, t int"), ["k"], "score", ["t"])
     assert sorted((r["k"], r["t"]) for r in got.collect()) == [("a", 4), ("c", 1)]
+
+
+def test_attach_spreads_heavy_keys_only(spark):
+    """Keys with most rows, with few, without partner, and none at all, on the route of large lookups."""
+    from foreloom.plans.joins import attach
+
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id % 300 END AS k")
+    lookup = spark.range(250).selectExpr("id AS k", "id * id AS v")
+    for limit in ("100", "100000"):
+        spark.conf.set("spark.foreloom.groupRows", limit)
+        spark.conf.set("spark.foreloom.broadcastRows", "50")
+        try:
+            for how in ("inner", "left"):
+                want = sorted(map(repr, rows.join(lookup, ["k"], how).select("id", "k", "v").collect()))
+                assert sorted(map(repr, attach(rows, lookup, ["k"], how).select("id", "k", "v").collect())) == want
+        finally:
+            spark.conf.unset("spark.foreloom.groupRows")
+            spark.conf.unset("spark.foreloom.broadcastRows")
