@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,37 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+# Fixed value: what the pattern takes for white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space of so many characters are cut out before the pattern sees them: it goes back over a run step by step.
+LONG_RUN = 20_000
+
+
+def encoder(ranks: dict[bytes, int], least: int = LONG_RUN) -> Callable[[str], list[int]]:
+    """Text to tokens, as the vocabulary's tokenizer has them.
+
+    The pattern makes one piece of a run of white space, but for its last character where something follows; so a long
+    run is merged as the one piece that it is, and the text before and behind it is encoded by itself.
+    """
+    import tiktoken
+
+    encode, whole = (
+        tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for name, pattern in (("own", PATTERN), ("piece", r"(?s).+"))
+    )
+    long = re.compile(f"[{WHITE}]{{{least},}}")
+
+    def encoded(text: str) -> list[int]:
+        at, out = 0, []
+        for run in long.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += encode(text[at : run.start()]) + whole(text[run.start() : stop])
+            at = stop
+        return out + encode(text[at:]) if at else encode(text)
+
+    return encoded
+
+
 def shares(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> tuple[np.ndarray, int, int]:
     """Tokens of every section, tokens of none, and tokens that touch several, from places in bytes.
 
@@ -60,13 +92,11 @@ def attributed(docs: DataFrame, sections: Column | Callable, text: str = "text",
     new = [("n_tokens", pa.int64()), ("n_outside", pa.int64()), ("n_crossing", pa.int64()), ("section_tokens", pa.list_(pa.int64()))]
 
     def run(batches):
-        import tiktoken
-
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = encoder(ranks)
         for whole in batches:
             for part in slices(whole, at):
                 out: list[list] = [[] for _ in new]

@@ -261,6 +261,30 @@ def test_token_shares_add_up(spark, docs, empty):
     assert token_counts.by_line(empty).count() == 0 and token_counts.by_line(docs).count() == len(ROWS)
 
 
+def test_long_runs_of_white_space(spark):
+    import base64
+    import random
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    plain, cut = token_counts.encoder(ranks), token_counts.encoder(ranks, 3)
+    draw = random.Random(1)
+    for _ in range(300):
+        text = "".join(draw.choice(["a", "Zoë's", "12", "?!", " ", "  ", "     ", "\n\n\n", "\t \u3000 ", "\x1c\x1c\x1c\x1c", "\xa0\xa0\x85\x85"]) for _ in range(draw.randrange(14)))
+        assert cut(text) == plain(text)
+    rows = [(1, " " * 1_000_000), (2, "\n" * 2_000_000 + "x"), (3, "a" + " \n" * 600_000 + " b"), (4, "q" * 1_000_000)]
+    out = {r.doc_id: r for r in token_counts.by_line(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_tokens == 1_000_000 and out[2].n_tokens == 999_999 + 3 and out[4].n_tokens == len(plain("q" * 1_000_000))
+    assert all(sum(r.section_tokens) + r.n_outside == r.n_tokens for r in out.values())
+
+
+def test_token_attribution_by_hand():
+    """Tokens of 3, 2, 4 and 1 bytes over sections 0-4, 4-6 and 7-9: the second touches two, the third two, the last none."""
+    ends, starts, stops = np.array([3, 5, 9, 10]), np.array([0, 4, 7]), np.array([4, 6, 9])
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in token_counts.shares(ends, starts, stops, "largest")] == [[2, 0, 1], 1, 2]
+    assert token_counts.shares(ends, starts, stops, "first")[0].tolist() == [2, 1, 0]
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 
