@@ -743,7 +743,22 @@ def _(t):
     return rounded(Fc.forecast_from_state(states, ["k"], 5), 6)
 
 
-@query("arima_train_and_forecast")
+@query(
+    "arima_train_and_forecast",
+    f"""WITH RECURSIVE {DAILY}, l AS (SELECT k, y, LAG(y) OVER (PARTITION BY k ORDER BY i) AS x FROM u),
+        m AS (SELECT k, REGR_SLOPE(y, x) AS phi, REGR_INTERCEPT(y, x) AS a FROM l WHERE x IS NOT NULL GROUP BY k),
+        h AS (SELECT u.k, 0 AS step, ARG_MAX(y, i) AS f, MAX(ts) AS ts, ANY_VALUE(phi) AS phi, ANY_VALUE(a) AS a FROM u JOIN m ON m.k = u.k GROUP BY u.k
+              UNION ALL SELECT k, step + 1, a + phi * f, ts, phi, a FROM h WHERE step < 4)
+        SELECT k, step, CAST(ts + step * INTERVAL 1 DAY AS TIMESTAMP) AS forecast_date, ROUND(f, 6) AS forecast_value,
+               CASE WHEN ABS(phi) >= 1 THEN 'AR coefficients outside (-1, 1)' END AS warning FROM h WHERE step > 0""",
+)
+def _(t):
+    """An AR(1) with constant, whose fit has a closed form."""
+    out = Fc.arima_train_and_forecast(daily(t), ["k"], (1, 0, 0), 4)
+    return out.select("k", "step", "forecast_date", F.round("forecast_value", 6).alias("forecast_value"), "warning")
+
+
+@query("arima_train_and_forecast_differenced")
 def _(t):
     return Fc.arima_train_and_forecast(daily(t), ["k"], (1, 1, 1), 4)
 

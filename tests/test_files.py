@@ -80,7 +80,7 @@ def test_filters_reach_the_scan(spark, folder):
 def test_integrate_needs_all_initial_values(spark):
     diffs = spark.createDataFrame([("a", 2, 1.0)], "k string, pos long, diff double")
     start = spark.createDataFrame([("a", 0, 1.0)], "k string, pos long, value double")
-    with pytest.raises(Exception, match="must match"):
+    with pytest.raises(Exception, match="as many first levels"):
         T.integrate(diffs, start, ["k"], 2).collect()
 
 
