@@ -9,6 +9,7 @@ from foreloom.operators import splits as P
 from foreloom.operators.joingraph import JoinGraph
 from foreloom.operators.trees import DecisionTree, DummyModel, GradientBoosting, RandomForest, Split, Tree, Node
 from foreloom.plans.joins import attach
+from foreloom.session import cut
 from foreloom.suite import query
 
 
@@ -248,7 +249,7 @@ _SCORE = "(ls * ls / lc + (ts - ls) * (ts - ls) / (tc - lc)) / (ts * ts / tc)"
 
 
 def _root(t, g):
-    """Feature sums of all rows as one node, and the node's totals."""
+    """Feature sums of all rows as one node, the node's totals, and whether a feature has too many values for one task."""
     facts = M.lift(g).withColumns({"tree": F.lit(0), "node": F.lit(1).cast("long")})
     model = DecisionTree()
     model._sizes(g)  # only relations measured to be small are broadcast
@@ -256,7 +257,7 @@ def _root(t, g):
     totals = M.semiring_sum(facts, ["tree", "node"]).select(
         "tree", "node", F.col("s").alias("total_s"), F.col("c").cast("double").alias("total_c")
     )
-    return values, totals
+    return values, totals, model._long
 
 
 def _relative(scored, totals):
@@ -283,8 +284,9 @@ def _(t):
 
 
 def _scored(t, g):
-    values, totals = _root(t, g)
-    return P.scored_splits(values, totals), totals
+    values, totals, long = _root(t, g)
+    # the running sums over slices read the values several times
+    return P.scored_splits(cut(values) if long else values, totals, long), totals
 
 
 @query(
