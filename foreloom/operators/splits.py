@@ -38,10 +38,12 @@ def long_features(relations: Sequence[tuple[DataFrame, int, dict[str, tuple[int,
     The feature values of all relations go through one shuffle, and are added
     up per task before it.
     """
-    parts = [
-        rows.select("tree", "node", F.explode(feature_items(rel, features)).alias("f"), "s", "c")
-        for rows, rel, features in relations
-    ]
+    parts = []
+    for rows, rel, features in relations:
+        items = feature_items(rel, features)
+        # a single feature needs no array of its row
+        item = F.explode(items) if len(features) > 1 else items[0]
+        parts.append(rows.select("tree", "node", item.alias("f"), "s", "c"))
     every = reduce(DataFrame.unionAll, parts)
     fields = [F.col(f"f.{n}").alias(n) for n in ("rel", "feat", "kind", "num", "cat")]
     return every.groupBy("tree", "node", *fields).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))

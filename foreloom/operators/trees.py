@@ -20,7 +20,7 @@ from foreloom.functions.scalars import rename_reserved
 from foreloom.operators import messages as M
 from foreloom.operators import splits as P
 from foreloom.operators.joingraph import CAT, LCAT, NUM, JoinGraph, JoinGraphError, Relation
-from foreloom.plans.joins import attach
+from foreloom.plans.joins import attach, heavy_keys
 from foreloom.session import broadcast_rows, cut, fits, group_rows, planned_once
 
 RESERVED = ("s", "c", "rowid", "tree", "node", "nodes", "rel", "feat", "kind", "num", "cat")
@@ -365,6 +365,7 @@ class DecisionTree(DummyModel):
             for n, r in work.relations.items()
             if n != work.target_relation
         }
+        self._heavy: dict[str, DataFrame | None] = {}
         bound = group_rows(spark)
         self._long = False
         self._has_sets = any(kind == LCAT for r in work.relations.values() for kind in r.features.values())
@@ -515,13 +516,19 @@ class DecisionTree(DummyModel):
             keyed = lookup.select(*[F.col(m).alias(k) for k, m in zip(theirs, mine)], *flags)
             # rows without any flag need not travel
             keyed = keyed.where(reduce(or_, [F.coalesce(F.col(f), F.lit(False)) for f in flags]))
-            facts = attach(facts, keyed, theirs, "left", self._small[head])
+            facts = attach(facts, keyed, theirs, "left", self._small[head], heavy=lambda: self._heavy_of(facts, head, theirs))
             shuffled = shuffled or not self._small[head]
             for f in flags:
                 t, n = (int(v) for v in f.split("_")[-2:])
                 tests[t, n] = F.coalesce(F.col(f), F.lit(False))
         return self._placed(facts, tests).select(*columns), shuffled
 
+    def _heavy_of(self, facts: DataFrame, head: str, keys: list[str]) -> DataFrame | None:
+        """Heavy keys of the fact rows toward a relation, counted once: all levels and trees have the same rows."""
+        if head not in self._heavy:
+            self._heavy[head] = heavy_keys(facts, keys)
+        return self._heavy[head]
+
     def _placed(self, facts: DataFrame, tests: dict[tuple[int, int], Column]) -> DataFrame:
         """Fact rows of the nodes tested move to a child."""
         expr = None
