@@ -9,7 +9,7 @@ from foreloom.operators import splits as P
 from foreloom.operators.joingraph import JoinGraph
 from foreloom.operators.trees import DecisionTree, DummyModel, GradientBoosting, RandomForest, Split, Tree, Node
 from foreloom.plans.joins import attach
-from foreloom.session import cut
+from foreloom.session import cut, group_rows, spread_over
 from foreloom.suite import query
 
 
@@ -285,8 +285,12 @@ def _(t):
 
 def _scored(t, g):
     values, totals, long = _root(t, g)
-    # the running sums over slices read the values several times
-    return P.scored_splits(cut(values) if long else values, totals, long), totals
+    # many rows are added up in partitions of bounded size; the running sums over slices read the sums several times
+    rows = sum(r.frame.count() for r in g.relations.values())
+    if long or rows > group_rows(t.spark):
+        with spread_over(t.spark, rows):
+            values = cut(values)
+    return P.scored_splits(values, totals, long), totals
 
 
 @query(
